@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillon.runtime import staged
 
-CAPACITY, BUCKETS, SHARDS = 2048, 128, 256
+CAPACITY, BUCKETS, SHARDS = 2048, 128, 32
 
 
 def choose_boundaries(histogram: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
