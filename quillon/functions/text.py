@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillon import lexicons as L
 
@@ -48,7 +49,7 @@ def expand(words: list[str], hints: dict[str, tuple[str, ...]] = L.SEMANTIC_HINT
     return list(dict.fromkeys([*words, *(h for w in words for h in hints.get(w, ()))]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise(texts: pd.Series) -> pd.Series:
     """ASCII words: compatibility forms decomposed, marks dropped, all but letters and digits as one blank."""
     import unicodedata
@@ -88,16 +89,16 @@ def clean(c: str | Column) -> Column:
 def plausible(word: Column) -> Column:
     """Whether a word has the shape of one: enough vowels among its letters, not too long."""
     letters = _count(word, r"\p{L}")
-    vowels = _count(F.lower(word), "[aeiouyàâäéèêëîïôöùûüÿœæ]")
+    vowels = _count(word, "[aeiouyàâäéèêëîïôöùûüœ]")
     return F.when(F.length(word) <= 2, True).when(F.length(word) > 28, False).otherwise((letters > 0) & (vowels / letters >= 0.18))
 
 
 def semantic_score(c: str | Column, common: tuple[str, ...] = L.COMMON_WORDS) -> Column:
     """How much a text reads like language, 0 to 1; 0 without words."""
-    words = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(WORD), 0)
+    words = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(WORD), 0)
     n = F.size(words)
     known = F.array(*[F.lit(w) for w in common])
-    hits = F.size(F.filter(words, lambda w: F.array_contains(known, F.lower(w))))
+    hits = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
     long = F.size(F.filter(words, lambda w: F.length(w) > 22))
     raw = 0.72 * F.size(F.filter(words, plausible)) / n + 0.28 * F.least(hits / F.lit(4.0), F.lit(1.0)) - F.least(long / n, F.lit(0.4))
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(raw, F.lit(1.0))))
@@ -105,15 +106,15 @@ def semantic_score(c: str | Column, common: tuple[str, ...] = L.COMMON_WORDS) ->
 
 def looks_like_text(c: str | Column) -> Column:
     """Enough letters and readable characters to be a text line."""
-    t = strip(F.coalesce(col(c), F.lit("")))
+    t = F.coalesce(col(c), F.lit(""))
     n = F.length(t)
-    return (n >= 3) & (_count(t, r"\p{L}") >= 2) & (_count(t, READABLE) / n > 0.88) & (F.contains(t, F.lit(" ")) | (n < 80))
+    return (n >= 3) & (_count(t, r"\p{L}") >= 2) & (_count(t, READABLE) / n > 0.88) & (F.regexp_like(t, F.lit(r"[ \n\r\t]")) | (n < 80))
 
 
 def looks_like_pdf_literal(c: str | Column) -> Column:
     """The same for literal strings of a PDF; short ones must hold a blank."""
     t = strip(F.coalesce(col(c), F.lit("")))
-    n, alpha, readable, blanks = F.length(t), _count(t, r"\p{L}"), _count(t, READABLE), _count(t, r"(?U)\s")
+    n, alpha, readable, blanks = F.length(t), _count(t, r"\p{L}"), _count(t, READABLE), _count(t, r"[ \n\r\t]")
     return F.when(n < 3, False).when(n < 80, (alpha >= 2) & (readable / n > 0.9) & (blanks >= 1)).otherwise((alpha >= 8) & (readable / n > 0.86) & (blanks / n > 0.03))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillon.functions.text import label
 
 # Labels of codes.
-STATUS_LABELS = {"imported": "Importe", "ocr_pending": "OCR a faire", "ocr_processing": "OCR en cours", "indexed": "Indexe", "error": "Erreur", "low_quality": "Qualite faible"}
-QUALITY_LABELS = {"good": "Bonne", "medium": "Moyenne", "low": "Faible", "unknown": "Inconnue", "error": "Erreur", "unsupported": "Non supporte"}
+STATUS_LABELS = {"imported": "Importe", "ocr_pending": "OCR requis", "ocr_processing": "OCR en cours", "indexed": "Indexe", "error": "Erreur", "low_quality": "Lisibilite faible"}
+QUALITY_LABELS = {"good": "Bonne", "medium": "Moyenne", "low": "Faible", "unknown": "Inconnue", "error": "Erreur", "unsupported": "Non pris en charge"}
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
