@@ -114,7 +114,7 @@ def sql_search(where: str = "true", vector: bool = False) -> str:
     score = "0.65 * exact + 0.35 * hint + bonus"
     if vector:
         score = "case when len(embedding) > 0 then 0.35 * exact + 0.55 * greatest(hint, near) + 0.10 * hint + bonus else 0.65 * exact + 0.35 * greatest(hint, near) + bonus end"
-    near = f"case when len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null), true) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 then list_cosine_similarity(embedding, ({PROBE})) else 0.0 end" if vector else "0.0"
+    near = f"case when len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null), true) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 then list_cosine_similarity(list_resize(list_transform(embedding, lambda x: coalesce(x, 0.0)), 64, 0.0), ({PROBE})) else 0.0 end" if vector else "0.0"
     tf = lambda w: f"len(list_filter(tk, lambda x: x = '{w}'))"
     counts = {w: Q.count(w) for w in dict.fromkeys(Q)}
     return f"""with d as (select * from documents, (select allowed_client_ids c, allowed_matter_ids m from users where id = '{USER}')
@@ -160,7 +160,7 @@ def search_hybrid(spark, root):
 
 
 @query(
-    f"""select page_id, similarity from (select distinct id page_id, round(case when len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null), true) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 then list_cosine_similarity(embedding, ({PROBE})) else 0.0 end, 4) similarity from pages) order by similarity desc, page_id limit 25"""
+    f"""select page_id, similarity from (select distinct id page_id, round(case when len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null), true) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 then list_cosine_similarity(list_resize(list_transform(embedding, lambda x: coalesce(x, 0.0)), 64, 0.0), ({PROBE})) else 0.0 end, 4) similarity from pages) order by similarity desc, page_id limit 25"""
 )
 def dense_cosine_topk(spark, root):
     return search.cosine_topk(load(spark, root, "pages"), probe(spark, root))
