@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import bpe, packing
+from quillon.llm import bpe, hilbert, packing
 from quillon.runtime import load
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    near = hilbert.neighbours(load(spark, root, "pages"), "id", "embedding").select("id", F.explode("others").alias("other"))
+    return near.select(F.least("id", "other").alias("page_id_a"), F.greatest("id", "other").alias("page_id_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    near = hilbert.neighbours(load(spark, root, "pages"), "id", "embedding")
+    return near.select(F.col("id").alias("page_id"), F.posexplode("others").alias("rank", "neighbour_id")).withColumn("rank", F.col("rank") + 1)
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(load(spark, root, "documents"), "doc_id", "text")
 
@@ -24,7 +35,7 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
