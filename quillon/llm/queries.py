@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hilbert, packing
+from quillon.llm import bpe, hilbert, near, packing
 from quillon.runtime import load
 
 
+def _alike_pages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return near.near_pairs(load(spark, root, "pages"), "id", "text", "words3", 0.6)
+
+
+def _alike_names(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return near.near_pairs(load(spark, root, "documents"), "id", "filename", "name3", 0.6)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    pages, names = near.expand(*_alike_pages(spark, root)), near.expand(*_alike_names(spark, root))
+    return pages.select(F.lit("pages.text").alias("field_name"), "id_a", "id_b").unionByName(names.select(F.lit("documents.filename").alias("field_name"), "id_a", "id_b"))
+
+
+def p3_page_groups(spark: SparkSession, root: str) -> DataFrame:
+    return near.groups(*_alike_pages(spark, root))
+
+
+def p3_document_groups(spark: SparkSession, root: str) -> DataFrame:
+    return near.groups(*_alike_names(spark, root))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     near = hilbert.neighbours(load(spark, root, "pages"), "id", "embedding").select("id", F.explode("others").alias("other"))
     return near.select(F.least("id", "other").alias("page_id_a"), F.greatest("id", "other").alias("page_id_b")).distinct()
@@ -35,7 +56,7 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
