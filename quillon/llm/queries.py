@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hilbert, near, packing
+from quillon.llm import bpe, hilbert, near, packing, truncation
 from quillon.runtime import load
 
 
+def _cut(spark: SparkSession, root: str) -> DataFrame:
+    pages = load(spark, root, "pages").select(F.col("id").alias("record_id"), "document_id", "page_number", "text")
+    summaries = load(spark, root, "documents").select(F.col("id").alias("record_id"), F.col("summary").alias("text"))
+    named = lambda df, name: df.select(F.lit(name).alias("field_name"), "record_id", "evidence")
+    return named(truncation.cut_records(pages, follows=True), "pages.text").unionByName(named(truncation.cut_records(summaries), "documents.summary"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return _cut(spark, root).select("field_name", "record_id").distinct()
+
+
+def p1_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(source, field_name, records, cut, share) of every intake channel; unfiled sources are null."""
+    documents = load(spark, root, "documents").select("id", "source", "summary").distinct()
+    pages = load(spark, root, "pages").filter(F.trim("text") != "").select(F.col("id").alias("record_id"), F.col("document_id").alias("id")).distinct()
+    of_page = pages.join(documents.select("id", "source").distinct(), "id", "left").select(F.lit("pages.text").alias("field_name"), "record_id", "source")
+    of_summary = documents.filter(F.trim("summary") != "").select(F.lit("documents.summary").alias("field_name"), F.col("id").alias("record_id"), "source")
+    all_ = of_page.unionByName(of_summary).join(_cut(spark, root), ["field_name", "record_id"], "left")
+    n = all_.groupBy("source", "field_name").agg(F.count("*").alias("records"), F.count("evidence").alias("cut"))
+    return n.withColumn("share", F.round(F.col("cut") / F.col("records"), 4))
+
+
 def _alike_pages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return near.near_pairs(load(spark, root, "pages"), "id", "text", "words3", 0.6)
 
@@ -56,7 +78,7 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
