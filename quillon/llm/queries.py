@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hilbert, near, packing, truncation
+from quillon.llm import bpe, hilbert, near, packing, scans, truncation
 from quillon.runtime import load
 
 
@@ -33,6 +33,26 @@ def p1_sources(spark: SparkSession, root: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("cut") / F.col("records"), 4))
 
 
+def _scans(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Pages of documents that needed OCR; a page without document is one if its raw text has lines."""
+    from quillon.operators.orphans import key_of
+    from quillon.runtime import checked_broadcast
+
+    pages = load(spark, root, "pages").select("id", "document_id", "page_number", "text", "raw_text")
+    ocr = load(spark, root, "documents").filter("id is not null").groupBy(key_of("id").alias("_key")).agg(F.max("ocr_required").alias("_ocr"))
+    joined = pages.withColumn("_key", key_of("document_id")).join(checked_broadcast(ocr, 200_000), "_key", "left").drop("_key")
+    scanned = F.coalesce("_ocr", F.contains("raw_text", F.lit("\n")), F.lit(False))
+    return scans.analyse(joined, scanned)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.findings(_scans(spark, root))
+
+
+def p2_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    return scans.paragraphs(_scans(spark, root))
+
+
 def _alike_pages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return near.near_pairs(load(spark, root, "pages"), "id", "text", "words3", 0.6)
 
@@ -78,7 +98,7 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sources, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
