@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hilbert, near, packing, scans, truncation
+from quillon.llm import bpe, hilbert, names, near, packing, scans, truncation
 from quillon.runtime import load
 
 
@@ -84,6 +84,19 @@ def p5_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return near.select(F.col("id").alias("page_id"), F.posexplode("others").alias("rank", "neighbour_id")).withColumn("rank", F.col("rank") + 1)
 
 
+def _names(spark: SparkSession, root: str) -> DataFrame:
+    persons = load(spark, root, "documents").select(F.explode("persons").alias("name"))
+    return names.entities(persons.unionByName(load(spark, root, "matters").select(F.col("responsible").alias("name"))))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.variant_pairs(_names(spark, root))
+
+
+def p6_entities(spark: SparkSession, root: str) -> DataFrame:
+    return _names(spark, root)
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(load(spark, root, "documents"), "doc_id", "text")
 
@@ -98,7 +111,7 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p6_found, p6_entities, p8_ids, p9_containers, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
