@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hilbert, names, near, packing, scans, truncation
+from quillon.llm import bpe, hilbert, names, near, packing, personal, scans, truncation
 from quillon.runtime import load
 
 
@@ -97,6 +97,28 @@ def p6_entities(spark: SparkSession, root: str) -> DataFrame:
     return _names(spark, root)
 
 
+def _personal(spark: SparkSession, root: str) -> tuple[DataFrame, tuple[bytes, bytes]]:
+    documents = load(spark, root, "documents").select("id", "summary", "persons")
+    text = lambda df, field, c: df.select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col(c).alias("text"))
+    texts = (
+        text(load(spark, root, "pages"), "pages.text", "text").unionByName(text(documents, "documents.summary", "summary"))
+        .unionByName(text(documents.select("id", F.explode("persons").alias("person")), "documents.persons", "person"))
+    )
+    people = documents.select(F.explode("persons").alias("name")).unionByName(load(spark, root, "matters").select(F.col("responsible").alias("name"))).unionByName(load(spark, root, "users").select("name"))
+    family, given = personal.name_words(people)
+    return texts, (personal.bloom(family), personal.bloom(given))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return personal.found(*_personal(spark, root))
+
+
+def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The texts with placeholders; the key is a parameter of the deployment, this one is for tests."""
+    texts, lexicon = _personal(spark, root)
+    return personal.redacted(texts, lexicon, b"quillon test key")
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(load(spark, root, "documents"), "doc_id", "text")
 
@@ -111,7 +133,7 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p6_found, p6_entities, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p6_found, p6_entities, p7_found, p7_redacted, p8_ids, p9_containers, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
