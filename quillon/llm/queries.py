@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hilbert, names, near, packing, personal, scans, truncation
+from quillon.llm import bpe, hilbert, names, near, packing, personal, scans, subjects, truncation
 from quillon.runtime import load
 
 
@@ -132,8 +132,25 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, root))
 
 
+def _subjects(spark: SparkSession, root: str) -> DataFrame:
+    documents = load(spark, root, "documents").select("doc_id", "text", "persons")
+    return subjects.assign(documents, subjects.learn(documents, load(spark, root, "doc_subjects")))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _subjects(spark, root).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, root: str) -> DataFrame:
+    """(subject, label_fr, documents, share): the share of all documents that have an area; areas without documents count 0."""
+    total = load(spark, root, "documents").agg(F.count_distinct("doc_id").alias("total"))
+    n = p10_found(spark, root).groupBy("subject").agg(F.count("*").alias("documents"))
+    areas = load(spark, root, "subjects").join(n, "subject", "left").crossJoin(F.broadcast(total))
+    return areas.select("subject", "label_fr", F.coalesce("documents", F.lit(0)).alias("documents"), F.round(F.coalesce("documents", F.lit(0)) / F.greatest("total", F.lit(1)), 4).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p6_found, p6_entities, p7_found, p7_redacted, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p6_found, p6_entities, p7_found, p7_redacted, p8_ids, p9_containers, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
