@@ -93,7 +93,7 @@ def test_cosine(spark, a, b, want):
     assert value(spark, cosine(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)
 
 
-@pytest.mark.parametrize(("text", "want"), [("ni defit", "ni de deficit"), ("un animal", "un animal"), ("un ranimal", "un l'animal"), ("Traval", "Travail"), ("", "")])
+@pytest.mark.parametrize(("text", "want"), [("ni defit", "ni de deficit"), ("un animal", "un animal"), ("un ranimal", "un l'animal"), ("Traval", "travail"), ("Cerificat", "Certificat"), ("", "")])
 def test_ocr_postprocess(spark, text, want):
     assert value(spark, ocr.postprocess(F.col("t")), t=text) == want
 
