@@ -20,7 +20,9 @@ from quillon.runtime import staged
 
 DIMENSIONS = 64
 CURVES, PROJECTED, BITS = 6, 8, 7
-WINDOW, BLOCK = 512, 512
+WINDOW, BLOCK = 1024, 512
+#: Rows of a range partition: few rows lie at its ends, where a curve's windows stop and the other curves' go on.
+PART_ROWS = 40_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -125,7 +127,7 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dimensions: int
     Fewer than k where there are fewer others in reach. See usable_vectors for what is left out.
     """
     units = staged(usable_vectors(df, key, vector, dimensions), "vectors")
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = -(-units.count() // PART_ROWS) or 1
 
     def with_key(curve: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

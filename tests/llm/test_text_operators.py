@@ -15,7 +15,7 @@ def pages(spark, rows):
 
 def test_truncation(spark):
     whole = "Le cabinet propose de joindre le bail au dossier avant le 3 mai 2020."
-    rows = [(f"w{i}", f"dw{i}", 1, f"Pour mémoire, la somme est due à Dr. Martin. {whole} Il convient de vérifier si le loyer couvre aussi la toiture.", "") for i in range(80)]
+    rows = [(f"w{i}", f"dw{i}", 1, f"Pour mémoire, la somme est due à Dr. Martin. {whole} Il convient de vérifier si le loyer couvre aussi la toiture.", "") for i in range(300)]
     rows += [
         ("cut", "d1", 1, f"{whole} Il convient de vérifier si le", ""), ("goes_on", "d2", 1, f"{whole} Il convient de vérifier si le", ""), ("next", "d2", 2, "loyer couvre aussi la toiture.", ""),
         ("total", "d3", 1, f"{whole} Total TTC : 1 234,50 EUR", ""), ("number", "d4", 3, f"{whole} Page 3 sur 4", ""), ("plain", "d5", 2, f"{whole} 2", ""), ("dots", "d6", 1, f"{whole} Il convient de…", ""),
