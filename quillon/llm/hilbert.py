@@ -21,8 +21,8 @@ from quillon.runtime import staged
 DIMENSIONS = 64
 CURVES, PROJECTED, BITS = 6, 8, 7
 WINDOW, BLOCK = 1024, 512
-#: Rows of a range partition: few rows lie at its ends, where a curve's windows stop and the other curves' go on.
-PART_ROWS = 40_000
+#: Rows of a range partition: ten windows, so that few rows lie at its ends, and small enough that modest tables use several tasks.
+PART_ROWS = 10_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:

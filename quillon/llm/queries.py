@@ -153,5 +153,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_paragraphs, p3_found, p3_page_groups, p3_document_groups, p5_found, p5_neighbours, p6_found, p6_entities, p7_found, p7_redacted, p8_ids, p9_containers, p9_fill, p10_found, p10_composition)}
 
 
+SHINGLES_SQL = """select id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) s from (select id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from (select distinct id, text from pages where text is not null)) where len(w) >= 3"""
+NAMES_SQL = """select id, unnest(list_distinct(case when length(n) < 3 then [n] else list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3)) end)) s from (select distinct id, regexp_replace(lower(regexp_replace(filename, '\\.[A-Za-z]{1,5}$', '')), '[^a-z0-9]', '', 'g') n from documents where filename is not null) where n <> ''"""
+
+
+def _alike_sql(field: str, shingles: str) -> str:
+    return f"""select '{field}' field_name, a id_a, b id_b from (with s as ({shingles}), n as (select id, count(*) n from s group by 1), c as (select x.id a, y.id b, count(*) c from s x join s y on x.s = y.s and x.id < y.id group by 1, 2)
+    select a, b from c join n p on p.id = a join n q on q.id = b where c >= 0.6 * (p.n + q.n - c) - 1e-9)"""
+
+
+NEAR_SQL = """with v as (select distinct on (id) id, embedding e from pages where len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null), true) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 order by id),
+u as (select id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from v),
+p as (select a.id a, b.id b, row_number() over (partition by a.id order by round(list_inner_product(a.e, b.e), 6) desc, b.id) r from u a join u b on a.id <> b.id)
+select distinct least(a, b) page_id_a, greatest(a, b) page_id_b from p where r <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Exact SQL where the whole tables allow it; the other queries are tested against brute force or libraries."""
+    return {"p3_found": _alike_sql("pages.text", SHINGLES_SQL) + " union all " + _alike_sql("documents.filename", NAMES_SQL), "p5_found": NEAR_SQL}
