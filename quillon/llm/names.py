@@ -193,12 +193,12 @@ def read_persons(parsed: DataFrame) -> DataFrame:
 
 def anchors(bearers: DataFrame) -> DataFrame:
     """(word, anchor) of (word, context, n): the word itself, or the most frequent word within the edits that shares its context and is more frequent."""
-    n = bearers.groupBy("word").agg(F.sum("n").alias("n"))
-    close = alike_words(n)
+    n = staged(bearers.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    close = staged(alike_words(n), "alike")  # small tables, written so that the plan does not repeat the join
     ctx = bearers.select("word", F.explode("contexts").alias("context")).distinct()
     shared = close.join(ctx.select(F.col("word").alias("a"), "context"), "a").join(ctx.select(F.col("word").alias("b"), "context"), ["b", "context"]).select("a", "b").distinct()
     ranked = shared.join(n.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b").filter("nb > na or (nb = na and b < a)")
-    best = ranked.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("anchor")).select(F.col("a").alias("word"), "anchor")
+    best = staged(ranked.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("anchor")).select(F.col("a").alias("word"), "anchor"), "best")
     one = n.select("word").join(best, "word", "left")
     # A misspelling's anchor may itself be anchored: one more step.
     two = one.join(best.select(F.col("word").alias("anchor"), F.col("anchor").alias("further")), "anchor", "left")
@@ -218,7 +218,7 @@ def entities(values: DataFrame) -> DataFrame:
     nick = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
     contexts = F.array_distinct(F.concat(contexts, F.coalesce(F.array(F.substring(F.element_at(nick, F.col("given")), 1, 1)), F.array().cast("array<string>"))))
     family = anchors(people.select("word", contexts.alias("contexts"), "n"))
-    placed = people.join(family, "word")
+    placed = staged(people.join(family, "word"), "placed")
     forms = staged(placed.groupBy("anchor", "given").agg(F.sum("n").alias("n")), "forms")
 
     def resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -245,7 +245,7 @@ def entities(values: DataFrame) -> DataFrame:
     persons = placed.join(bearers, ["anchor", "given"]).select("name", F.concat_ws("|", F.lit("person"), "anchor", "bearer").alias("entity"), F.lit("person").alias("kind"), "n")
     firms = parsed.filter("kind = 'organisation'").select("name", "n", F.get("tokens", F.lit(0)).alias("word"), "business", "legal")
     firm_anchor = anchors(firms.select("word", F.array("business").alias("contexts"), "n"))
-    firms = firms.join(firm_anchor, "word")
+    firms = staged(firms.join(firm_anchor, "word"), "firms")
     # A form without a legal form takes the most frequent one of its name.
     legal = firms.filter("legal <> ''").groupBy("anchor", "business", "legal").agg(F.sum("n").alias("m"))
     top = legal.groupBy("anchor", "business").agg(F.max_by("legal", F.struct("m", "legal")).alias("usual"))

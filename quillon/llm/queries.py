@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, hilbert, names, near, packing, personal, scans, subjects, truncation
-from quillon.runtime import load
+from quillon.runtime import load, staged
 
 
 def _cut(spark: SparkSession, root: str) -> DataFrame:
@@ -90,7 +90,7 @@ def _names(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return names.variant_pairs(_names(spark, root))
+    return names.variant_pairs(staged(_names(spark, root), "linked"))
 
 
 def p6_entities(spark: SparkSession, root: str) -> DataFrame:
