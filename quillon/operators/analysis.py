@@ -27,7 +27,7 @@ def classify_matter(docs: DataFrame, matters: DataFrame) -> DataFrame:
 
     The share of a matter's words (with hints) that the document has, and 0.35 if it names the matter.
     Documents and matters meet through an inverted index of words, not pair by pair: a matter that shares
-    no word with a document scores 0 there. Ties go to the matter stored first (created_at, id).
+    no word with a document scores 0 there. Ties go to the matter stored first (created_at), then to the greater id.
     """
     first = matters.groupBy("id").agg(F.min_by(F.struct("name", "responsible", "created_at"), F.struct("created_at", "name", "responsible")).alias("m")).select(F.col("id").alias("matter_id"), "m.*")
     own = T.tokens(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("responsible", F.lit(""))))
@@ -38,7 +38,7 @@ def classify_matter(docs: DataFrame, matters: DataFrame) -> DataFrame:
     hits = said.join(checked_broadcast(index), "_word").groupBy("id", "matter_id").agg(F.count("*").alias("_hits"), F.first("_size").alias("_size"), F.first("_name").alias("_name"), F.first("created_at").alias("created_at"))
     full = hits.join(docs.select("id", "low_text", F.when(F.array_contains("labels", "fiscal"), 0.22).otherwise(0.14).alias("_least")), "id")
     score = F.col("_hits") / F.greatest("_size", F.lit(1)) + F.when((F.col("_name") != "") & F.contains("low_text", F.col("_name")), 0.35).otherwise(0.0)
-    best = F.max_by(F.struct("matter_id", F.col("s").alias("matter_score"), "_least"), F.struct("s", (-F.unix_micros("created_at")).alias("c")))
+    best = F.max_by(F.struct("matter_id", F.col("s").alias("matter_score"), "_least"), F.struct("s", (-F.unix_micros("created_at")).alias("c"), "matter_id"))
     return full.withColumn("s", score).groupBy("id").agg(best.alias("b")).select("id", "b.*").filter("matter_score >= _least").drop("_least")
 
 

@@ -13,6 +13,7 @@ from quillon.functions import text as T
 from quillon.operators import access, analysis, dashboard, orphans, search, store
 from quillon.runtime import checked_broadcast, latest_by_id, load
 from quillon.sources import files, ocr
+from quillon.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,6 +230,25 @@ def doc_types(spark, root):
     return d.select("doc_id", facts.doc_type(F.col("n"), F.col("w")).alias("found_type"))
 
 
+def sql_matter_words() -> str:
+    hints = "map {" + ", ".join(f"'{k}': {sql_list(v)}" for k, v in L.MATTER_HINTS.items()) + "}"
+    return f"list_distinct(list_concat({sql_tokens("concat_ws(' ', coalesce(name, ''), coalesce(responsible, ''))")}, flatten(list_transform({sql_tokens("concat_ws(' ', coalesce(name, ''), coalesce(responsible, ''))")}, lambda t: coalesce(map_extract({hints}, t)[1], [])))))"
+
+
+@query(
+    f"""with m as (select id, name, created_at, {sql_matter_words()} w from (select id, arg_min(name, created_at) name, arg_min(responsible, created_at) responsible, min(created_at) created_at from matters group by id)),
+    d as (select doc_id, lower(coalesce(text, '')) low, list_distinct({sql_tokens('text')}) w, list_filter([{', '.join(f"case when list_has_any({sql_tokens('text')}, {sql_list(v)}) then '{k}' end" for k, v in L.TAG_KEYWORDS.items())}], lambda x: x is not null)[1:6] g from documents),
+    s as (select doc_id, m.id matter_id, m.created_at, list_contains(g, 'fiscal') f, len(list_intersect(list_distinct(list_concat(d.w, g)), m.w)) / greatest(len(m.w), 1)::double + case when m.name <> '' and contains(low, lower(m.name)) then 0.35 else 0.0 end score from d, m)
+    select doc_id, matter_id, round(score, 6) score from (select *, row_number() over (partition by doc_id order by score desc, created_at, matter_id desc) r from s) where r = 1 and score >= case when f then 0.22 else 0.14 end"""
+)
+def matter_match(spark, root):
+    """The matter each document's text points to, by words through an inverted index."""
+    w = F.array_distinct(T.tokens("text"))
+    docs = load(spark, root, "documents").select(F.col("doc_id").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("low_text"), w.alias("words")).withColumn("labels", facts.tags(F.col("words"), F.lit("")))
+    found = analysis.classify_matter(docs, load(spark, root, "matters"))
+    return found.select(F.col("id").alias("doc_id"), "matter_id", F.round("matter_score", 6).alias("score"))
+
+
 # --- overview, lists, joins -------------------------------------------------------------------------
 
 
@@ -251,6 +271,17 @@ def open_tasks(spark, root):
     return dashboard.tasks_by_due(t)
 
 
+@query("select id, title, created_at from documents order by created_at desc, id limit 50")
+def documents_newest(spark, root):
+    return dashboard.newest(load(spark, root, "documents").select("id", "title", "created_at"), 50)
+
+
+@query("select date_trunc('day', created_at) as start, action, count(*) n from audit_logs where created_at is not null group by all")
+def audit_windows(spark, root):
+    """The streaming aggregation over a finished table."""
+    return landing.counts_per_window(load(spark, root, "audit_logs"))
+
+
 def sql_case(column: str, labels: dict[str, str]) -> str:
     return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in labels.items()) + f" else {column} end"
 
