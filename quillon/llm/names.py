@@ -130,7 +130,8 @@ def alike_words(words: DataFrame, k: int = EDITS, verified: int = VERIFIED) -> D
     # A segment shared by many words is no problem of size alone: pairs are made distinct before they are verified.
     left = words.select("word").mapInPandas(index, "len int, seg int, part string, a string")
     right = words.select("word").mapInPandas(probe, "len int, seg int, part string, b string")
-    pairs = left.join(right, ["len", "seg", "part"]).filter("a <> b").select("a", "b").distinct()
+    # The sides' sizes are only known once Python has made them, so the join is told to shuffle.
+    pairs = left.join(right.hint("merge"), ["len", "seg", "part"]).filter("a <> b").select("a", "b").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
