@@ -113,23 +113,35 @@ def correct_word(word: str) -> str:
     return fixed[:1].upper() + fixed[1:] if word[:1].isupper() else fixed
 
 
-def phrases(c: Column) -> Column:
-    for pattern, by in L.OCR_PHRASES:
-        c = F.regexp_replace(c, "(?iu)" + pattern, by)
-    return c
+#: Each phrase rule with a piece of text that must be there for it to apply.
+_PHRASES = tuple((max(re.findall(r"[a-z]{3,}(?![?*a-z])|\d{3,}", p.replace("\\b", " ").replace("\\s", " ").lower()), key=len, default=""), re.compile(p, re.IGNORECASE), by) for p, by in L.OCR_PHRASES)
+
+
+def phrases(text: str) -> str:
+    """The phrase rules in order."""
+    for needed, pattern, by in _PHRASES:
+        if needed in text.lower():
+            text = pattern.sub(by, text)
+    return text
 
 
 @F.pandas_udf(StringType())
-def _correct_words(texts: pd.Series) -> pd.Series:
+def _correct(texts: pd.Series) -> pd.Series:
     find = re.compile(r"\b[A-Za-zÀ-ÿ']+\b")
-    return texts.map(lambda t: None if t is None else find.sub(lambda m: correct_word(m.group(0)), t))
+
+    def one(t: str | None) -> str | None:
+        if not t:
+            return t
+        t = re.sub(r"([.,;:!?])(?=[A-Za-zÀ-ÿ])", r"\1 ", re.sub(r"\s+([.,;:!?])", r"\1", phrases(t)))
+        t = find.sub(lambda m: correct_word(m.group(0)), " ".join(t.split()))
+        return " ".join(phrases(t).split())
+
+    return texts.map(one)
 
 
 def postprocess(c: Column) -> Column:
     """Clean, apply the phrase rules, set blanks around punctuation, correct words, apply the phrase rules again."""
-    t = phrases(T.clean(c))
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+([.,;:!?])", "$1"), r"([.,;:!?])(?=[A-Za-zÀ-ÿ])", "$1 ")
-    return T.one_line(phrases(_correct_words(T.one_line(t))))
+    return _correct(T.clean(c))
 
 
 def flatten_result(result: object) -> list[tuple[str, float]]:
