@@ -1,9 +1,11 @@
 """Texts cut off before their last sentence does, by word trigrams inside texts against trigrams at ends.
 
 All in Spark SQL. Each text's last three words are held against the whole field: how often they stand
-inside a text with another word behind them, and how often at an end. A text that stops where texts
-go on nearly always is cut; a text that stops where many texts stop is whole. Words seen too rarely as
-a trigram are judged by their last two words, then by the last one. Two exact checks follow: a page
+inside a text with another word behind them, and how often at an end, marks behind the last word left
+aside. A text that stops where texts go on nearly always is cut; a text that stops where many texts stop,
+a share of all and in different texts, is whole, unless its last word stands nowhere inside a text: that
+is a fragment, however often it recurs. Words seen too rarely as a trigram are judged by their last two
+words. Two exact checks follow: a page
 whose sentence goes on at the top of its document's next page is whole (the two last words and the
 next page's first word are looked up as a trigram, too), and so is one that ends with a complete
 closing line.
@@ -19,6 +21,8 @@ from quillon.runtime import small_enough, staged
 
 #: Share of an ending's occurrences that are ends, from which it counts as whole; and below which a stop is taken for an abbreviation's.
 WHOLE_SHARE, WHOLE_ENDS = 0.5, 8
+#: Share of all records that end so, from which an ending may count as whole; WHOLE_ENDS is the least in small tables.
+WHOLE_OF = 0.0003
 ABBREVIATION_SHARE, ABBREVIATION_SEEN = 0.004, 60
 #: A length is a limit if it occurs so many times as often as the lengths around it.
 SPIKE, SPIKE_LEAST, SPIKE_NEAR = 8.0, 6, 20
@@ -38,6 +42,7 @@ CLOSING = (
 )
 HEADER = r"^(?:(?:[^/]{3,40} / (?:RG )?\S{4,20} / [cç]\S{8,14}|www\.\S+ T\S{2,4} d\S{3,5} r\S{5,8}|[EÉ]\S{3,5} \p{Lu}\S+ & a\S{6,9}|C\S{5,7} \p{Lu}+ - D\S{5,8} (?:RG )?\S{4,14}|(?:RG )?\S{4,14} -- f\S{6,10} \d{1,4} de \d{1,4}|" + PAGE_NUMBER + r"|\d{1,4}) +){1,2}"
 STOP = r"[.!?][\"'»”’)\]]*$"
+MARKS = ",;:.!?"
 OMISSION = r"(?:…|\.\.\.|\[\.\.\.\]|\(\.\.\.\))[\"'»”’)\]]*$"
 
 
@@ -46,15 +51,21 @@ def words(c: Column) -> Column:
     return F.split(F.lower(F.regexp_replace(c, r"\d+", "0")), " ")
 
 
-def grams(w: Column, n: int) -> Column:
-    """Hashes of the runs of n words that another word follows."""
+def bare(c: Column) -> Column:
+    """A word without the marks behind it."""
+    return F.rtrim(c, F.lit(MARKS))
+
+
+def grams(w: Column, v: Column, n: int) -> Column:
+    """Hashes of the runs of n words that another word follows; v has the words of w bare, of which the last one is taken."""
     last = F.size(w) - n - 1
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)]))
+    return F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n - 1)], F.get(v if n > 1 else w, i + n - 1)))
 
 
 def ending(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.xxhash64(F.lit(n), *[F.element_at(w, k - n) for k in range(n)]))
+    last = F.element_at(w, -1)
+    return F.when(F.size(w) >= n, F.xxhash64(F.lit(n), *[F.element_at(w, k - n) for k in range(n - 1)], bare(last) if n > 1 else last))
 
 
 def limits(lengths: DataFrame) -> DataFrame:
@@ -100,29 +111,35 @@ def cut_records(records: DataFrame, follows: bool = False) -> DataFrame:
         judged = open_.filter("not closed").withColumns({"goes_on": F.lit(False), "first": F.lit(None).cast("string")})
     ask = {f"e{n}": ending(F.col("w"), n) for n in (3, 2, 1)}
     two = F.size("w") >= 2
-    ask["b3"] = F.when(two & F.col("first").isNotNull(), F.xxhash64(F.lit(3), F.element_at("w", -2), F.element_at("w", -1), "first"))
-    ask["b2"] = F.when(F.col("first").isNotNull(), F.xxhash64(F.lit(2), F.element_at("w", -1), "first"))
+    ask["b3"] = F.when(two & F.col("first").isNotNull(), F.xxhash64(F.lit(3), F.element_at("w", -2), F.element_at("w", -1), bare(F.col("first"))))
+    ask["b2"] = F.when(F.col("first").isNotNull(), F.xxhash64(F.lit(2), F.element_at("w", -1), bare(F.col("first"))))
+    # The last word as it stands inside texts: bare, or with a comma or a stop behind it.
+    last = bare(F.element_at("w", -1))
+    ask |= {"k0": F.xxhash64(F.lit(1), last), "k1": F.xxhash64(F.lit(1), F.concat(last, F.lit(","))), "k2": F.xxhash64(F.lit(1), F.concat(last, F.lit(".")))}
     judged = staged(judged.withColumns(ask), "judged")
     # Counts over the whole field, of those n-grams that are asked for.
     asked = judged.select(F.explode(F.array(*ask)).alias("h")).filter("h is not null").distinct()
     few = small_enough(asked)
-    every = base.withColumn("w", w).select(F.explode(F.concat(*[grams(F.col("w"), n) for n in (3, 2, 1)])).alias("h"))
+    every = base.select(w.alias("w")).withColumn("v", F.transform("w", bare)).select(F.explode(F.concat(*[grams(F.col("w"), F.col("v"), n) for n in (3, 2, 1)])).alias("h"))
     inside = every.join(F.broadcast(asked), "h") if few else every
     inside = inside.groupBy("h").agg(F.count("*").alias("inside"))
-    ends = base.withColumn("w", F.slice(words(F.right("line", F.lit(400))), -3, 3)).select(F.explode(F.array(*[ending(F.col("w"), n) for n in (3, 2, 1)])).alias("h")).groupBy("h").agg(F.count("*").alias("ends"))
-    counts = staged(asked.join(inside, "h", "left").join(ends, "h", "left").select("h", F.coalesce("inside", F.lit(0)).alias("inside"), F.coalesce("ends", F.lit(0)).alias("ends")), "counts")
+    ends = base.withColumn("w", F.slice(words(F.right("line", F.lit(400))), -3, 3)).select(F.xxhash64("line").alias("of"), F.explode(F.array(*[ending(F.col("w"), n) for n in (3, 2, 1)])).alias("h"))
+    ends = ends.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("ends"), F.count("*").alias("texts"))
+    counts = staged(asked.join(inside, "h", "left").join(ends, "h", "left").select("h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inside", "ends", "texts")]), "counts")
     counts = F.broadcast(counts) if few else counts
     for c in ask:
-        judged = judged.join(counts.select(F.col("h").alias(c), F.col("inside").alias(f"{c}_in"), F.col("ends").alias(f"{c}_end")), c, "left")
+        judged = judged.join(counts.select(F.col("h").alias(c), F.col("inside").alias(f"{c}_in"), F.col("ends").alias(f"{c}_end"), F.col("texts").alias(f"{c}_texts")), c, "left")
     seen = lambda c: F.coalesce(F.col(f"{c}_in"), F.lit(0)) + F.coalesce(F.col(f"{c}_end"), F.lit(0))
     share = lambda c: F.coalesce(F.col(f"{c}_end"), F.lit(0)) / F.greatest(seen(c), F.lit(1))
     limit = F.broadcast(limits(open_.select(F.col("open_len").alias("len")).filter("len is not null")))
     near = judged.join(limit, F.col("limit").between(F.col("len"), F.col("len") + 3), "left").groupBy(*judged.columns).agg(F.max("limit").alias("limit"))
     at_limit = F.col("limit").isNotNull()
     bridged = (F.coalesce("b3_in", F.lit(0)) > 0) | (F.coalesce("b2_in", F.lit(0)) > 0)
+    least = max(WHOLE_ENDS, WHOLE_OF * base.select("record_id").distinct().count())
+    known = F.greatest(*[F.coalesce(f"{c}_in", F.lit(0)) for c in ("k0", "k1", "k2")]) > 0
     whole = F.lit(False)
     for c in ("e3", "e2"):
-        whole = whole | ((F.col(f"{c}_end") >= WHOLE_ENDS) & (share(c) >= WHOLE_SHARE))
+        whole = whole | (known & (F.col(f"{c}_texts") >= least) & (share(c) >= WHOLE_SHARE))
     abbreviation = (seen("e1") >= ABBREVIATION_SEEN) & (share("e1") <= ABBREVIATION_SHARE)
     evidence = (
         F.when(F.col("omitted"), "omission").when(F.col("short_stop"), F.when(abbreviation, "abbreviation"))

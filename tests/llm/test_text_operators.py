@@ -33,6 +33,16 @@ def test_truncation_limit_and_empty(spark):
     assert truncation.cut_records(df.limit(0)).count() == 0
 
 
+def test_truncation_of_recurring_fragments(spark):
+    filler = lambda i: "Le bail " + " ".join(["court"] * (i + 1)) + "."
+    rows = [(f"w{i}", f"{filler(i)} En pratique, le loyer reste fixe.") for i in range(40)]
+    rows += [(f"f{i}", f"{filler(i)} En pra") for i in range(12)]  # inside a word
+    rows += [(f"c{i}", f"{filler(i)} En pratique") for i in range(12)]  # before a comma that always follows
+    rows += [(f"e{i}", f"{filler(i)} Votre bail") for i in range(12)]  # a known word and a closing of many texts
+    got = {r["record_id"]: r["evidence"] for r in truncation.cut_records(spark.createDataFrame(rows, "record_id string, text string")).collect()}
+    assert set(got) == {f"{k}{i}" for k in "fc" for i in range(12)}
+
+
 @pytest.fixture(scope="module")
 def scan_tables(spark):
     clean = "La consommation figure dans la réponse du fournisseur. Peut-être une déclaration annuelle."
