@@ -1,7 +1,7 @@
 """Text of scanned pages as continuous paragraphs: running lines, page numbers, split words, misread characters.
 
-Lines at page edges that recur within their document, but for misread characters and numbers, are
-running headers or footers; lines that hold the page's number are page numbers. Words split at a line
+Lines at page edges that recur within their document, but for misread characters (folded, then up to
+two edits) and numbers, are running headers or footers; lines that hold the page's number are page numbers. Words split at a line
 end are joined where the corpus vocabulary knows the joined word better than the one with a hyphen.
 Misread words are mostly those that occur no more often in clean pages than in scanned ones and that a known confusion of characters
 turns into a much more frequent word of the corpus. All counts are of the whole corpus.
@@ -37,7 +37,7 @@ def fold(c: Column) -> Column:
     """A line's form without numbers, marks and the differences that misreading makes."""
     c = F.regexp_replace(F.lower(c), r"(?<!\S)\S*\d\S*\d\S*(?!\S)|(?<!\S)[\[({—–-]*\d[\])}.—–-]*(?!\S)", "#")
     c = F.translate(c, "àâäáãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
-    c = F.translate(F.replace(F.replace(c, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")), "01568@9icbqyft", "olseeaglelegvt")
+    c = F.translate(F.replace(F.replace(c, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")), "01568@9icbqyf", "olseeagleegvt")
     for whole, parts in (("d", "el"), ("m", "rn"), ("h", "ll"), ("u", "ll"), ("w", "vv")):
         c = F.replace(c, F.lit(whole), F.lit(parts))
     return F.regexp_replace(c, r"[^\p{L}#&/]+", "")
@@ -61,14 +61,37 @@ def edges(lines: DataFrame) -> DataFrame:
     return df.withColumn("free", free).withColumn("top", F.get("free", F.lit(0))).withColumn("foot", F.when(F.size("free") > 1, F.element_at("free", -1))).drop("near", "free", "at")
 
 
+def alike_forms(singles: DataFrame, others: DataFrame) -> DataFrame:
+    """(document_id, side, form) of singles that are within a few edits (one from 8 characters, two from 16) of another form of their document and side.
+
+    Segment join: a form cut into three has one part unchanged in any form two edits away, at most two places off.
+    """
+    cut = lambda n, i, off="0": f"substring(form, cast({i} * {n} div 3 as int) + {off} + 1, cast(({i} + 1) * {n} div 3 as int) - cast({i} * {n} div 3 as int))"
+    key = lambda n, i, part: f"xxhash64(document_id, side, {n}, {i}, {part})"
+    parts = F.expr(f"transform(sequence(0, 2), i -> {key('length(form)', 'i', cut('length(form)', 'i'))})")
+    asked = F.expr(f"array_distinct(flatten(transform(sequence(length(form) - 2, length(form) + 2), n -> flatten(transform(sequence(0, 2), i -> transform(sequence(-2, 2), s -> {key('n', 'i', cut('n', 'i', 's'))}))))))")
+    cols, long = ["document_id", "side", "form"], F.length("form") >= 8
+    left = singles.filter(long).select(*cols, F.explode(asked).alias("h"))
+    right = others.filter(long).select(F.col("document_id").alias("_d"), F.col("side").alias("_s"), F.col("form").alias("_f"), F.explode(parts).alias("h"))
+    most = F.when(F.least(F.length("form"), F.length("_f")) >= 16, 2).otherwise(1)
+    same = (F.col("document_id") == F.col("_d")) & (F.col("side") == F.col("_s")) & (F.col("form") != F.col("_f"))
+    return left.join(right, "h").filter(same).filter(F.levenshtein("form", "_f", 2).between(1, most)).select(*cols).distinct()
+
+
 def running_lines(pages: DataFrame) -> DataFrame:
     """pages of edges() with header_at: places of the edge lines that recur on two or more pages of their document."""
     # A header is no part of a sentence: it ends without a mark, and what follows one at the top begins anew.
     free = lambda side: ~F.regexp_like(F.get("lines", F.col(side)), F.lit(r"[.!?,;:…‐­-]\s*$")) & (F.lit(side != "top") | ~F.regexp_like(F.coalesce(F.get("lines", F.col(side) + 1), F.lit("")), F.lit(r"^\s*\p{Ll}")))
-    line = lambda side: F.struct(F.lit(side).alias("side"), F.when(free(side), F.col(side)).alias("place"), fold(F.get("lines", F.col(side))).alias("form"))
+    # A blank line parts it from the text: asked for where only an alike form recurs, as first lines of pages nearly alike are alike, too.
+    apart = lambda side: F.regexp_like(F.coalesce(F.get("lines", F.col(side) + (1 if side == "top" else -1)), F.lit("")), F.lit(r"^\s*$"))
+    line = lambda side: F.struct(F.lit(side).alias("side"), F.when(free(side), F.col(side)).alias("place"), fold(F.get("lines", F.col(side))).alias("form"), apart(side).alias("apart"))
     ends = pages.select("id", "document_id", F.explode(F.array(line("top"), line("foot"))).alias("e")).select("id", "document_id", "e.*").filter("place is not null and length(form) >= 4 and document_id is not null")
-    often = ends.groupBy("document_id", "side", "form").agg(F.count("*").alias("n")).filter("n > 1")
-    salted = often.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one document may hold a third of the pages
+    forms = staged(ends.groupBy("document_id", "side", "form").agg(F.count("*").alias("n"), F.max("apart").alias("apart")), "forms")
+    often, singles, cols = forms.filter("n > 1").drop("n", "apart"), forms.filter("n = 1 and apart").drop("n", "apart"), ["document_id", "side", "form"]
+    # Misread past the fold: first held against the recurring forms, so that only what is left is compared among itself.
+    near = staged(alike_forms(singles, often), "near")
+    rest = singles.join(near, cols, "left_anti")
+    salted = often.unionByName(near).unionByName(alike_forms(rest, rest)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one document may hold a third of the pages
     marked = ends.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, ["document_id", "side", "form", "salt"]).groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("header_at"))
     return pages.join(marked, "id", "left").withColumn("header_at", F.coalesce("header_at", F.array().cast("array<int>")))
 

@@ -70,6 +70,14 @@ def test_scan_paragraphs(scan_tables):
     assert got["s3"] == "" and len(got) == 3
 
 
+def test_headers_misread_past_the_fold(spark):
+    heads = {"a1": "Ftude Guvutrepal & associes", "a2": "Etude Guvutrepal & associes", "a3": "Etude Guvutrepal & associes", "b1": "CABINFT JUSATOTIC - Dossier", "b2": "CABINET JUSATOTIC - Dossier", "c1": "Annexe comptable", "c2": "Bilan financier annuel", "f1": "In short, the laboratory since 27", "f2": "In short, the laboratory sinse", "e1": "Faxe y8q", "e2": "Taxe v8g"}
+    rows = [(i, i[0], int(i[1]), None, f"{h}{chr(10) * (i[0] != 'f')}\nLe texte {i * 9} figure ici.\nLa suite {i * 9} vient.") for i, h in heads.items()]
+    df = spark.createDataFrame(rows, "id string, document_id string, page_number int, text string, raw_text string")
+    got = {r["id"] for r in scans.running_lines(scans.edges(scans.source_lines(df))).filter("size(header_at) > 0").collect()}
+    assert got == {"a1", "a2", "a3", "b1", "b2", "e1", "e2"}
+
+
 def test_readings_end():
     assert "figurent" in scans.readings("flgurent")
     assert len(scans.readings("l1" * 20)) < 100_000
