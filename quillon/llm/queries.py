@@ -24,9 +24,13 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_sources(spark: SparkSession, root: str) -> DataFrame:
     """(source, field_name, records, cut, share) of every intake channel; unfiled sources are null."""
+    from quillon.operators.orphans import key_of
+
     documents = load(spark, root, "documents").select("id", "source", "summary").distinct()
-    pages = load(spark, root, "pages").filter(F.trim("text") != "").select(F.col("id").alias("record_id"), F.col("document_id").alias("id")).distinct()
-    of_page = pages.join(documents.select("id", "source").distinct(), "id", "left").select(F.lit("pages.text").alias("field_name"), "record_id", "source")
+    sources = documents.groupBy(key_of("id").alias("key")).agg(F.min("source").alias("source"))
+    pages = load(spark, root, "pages").filter(F.trim("text") != "").select(F.col("id").alias("record_id"), key_of("document_id").alias("key")).distinct()
+    apart = F.coalesce("key", F.concat(F.lit("\x00"), "record_id"))  # null keys do not meet in one task
+    of_page = pages.withColumn("key", apart).join(sources, "key", "left").select(F.lit("pages.text").alias("field_name"), "record_id", "source")
     of_summary = documents.filter(F.trim("summary") != "").select(F.lit("documents.summary").alias("field_name"), F.col("id").alias("record_id"), "source")
     all_ = of_page.unionByName(of_summary).join(_cut(spark, root), ["field_name", "record_id"], "left")
     n = all_.groupBy("source", "field_name").agg(F.count("*").alias("records"), F.count("evidence").alias("cut"))

@@ -1,14 +1,17 @@
-"""Texts cut off before their last sentence does, by word trigrams inside texts against trigrams at ends.
-
-All in Spark SQL. Each text's last three words are held against the whole field: how often they stand
-inside a text with another word behind them, and how often at an end, marks behind the last word left
-aside. A text that stops where texts go on nearly always is cut; a text that stops where many texts stop,
-a share of all and in different texts, is whole, unless its last word stands nowhere inside a text: that
-is a fragment, however often it recurs. Words seen too rarely as a trigram are judged by their last two
-words. Two exact checks follow: a page
-whose sentence goes on at the top of its document's next page is whole (the two last words and the
-next page's first word are looked up as a trigram, too), and so is one that ends with a complete
-closing line.
+"""Texts cut off before their last sentence does, by word n-grams inside texts against n-grams at ends.
+
+All in Spark SQL. A text that ends without a sentence's stop is held against the whole field: how often its
+last words stand inside texts with other words behind them, and how often at an end. Two views are counted:
+the words as they are, and masked ones (numbers and dates as 0, the page's own number as #, capitalised words
+as n, a word with a stop behind it as x.), so that closing lines, totals, signatures, page numbers and running
+lines are learned from the corpus as n-grams that are mostly terminal; there is no list of them. The longest
+view that has been seen often enough decides: trigrams first of all, longer masked n-grams before them, pairs
+and single words where trigrams are too rare. A text whose last words go on nearly always is cut, one whose
+last word hardly stands inside texts is cut within that word. A page whose sentence goes on is whole: the next
+page begins in lower case with a word that the corpus knows behind this page's last words.
+
+The corpus's n-grams pass a bitmap of those that are asked for before they are counted; it has a fixed size,
+only spares the shuffle, and the join behind it is exact, so there is one plan at every size.
 """
 
 from __future__ import annotations
@@ -17,132 +20,178 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import one_line
-from quillon.runtime import small_enough, staged
-
-#: Share of an ending's occurrences that are ends, from which it counts as whole; and below which a stop is taken for an abbreviation's.
-WHOLE_SHARE, WHOLE_ENDS = 0.5, 8
-#: Share of all records that end so, from which an ending may count as whole; WHOLE_ENDS is the least in small tables.
-WHOLE_OF = 0.0003
+from quillon.operators.orphans import key_of
+from quillon.runtime import checked_broadcast, staged
+
+#: Occurrences from which an n-gram is evidence, the share of them at ends from which it closes a text, and the different texts it must close.
+SEEN, CLOSING_SHARE, CLOSING_TEXTS = 6, 0.5, 3
+#: A closing line as sure as that is one even at a length where cuts pile up.
+SURE_SHARE = 0.9
+#: Words at a text's edges that do not count as inside for masked n-grams: running lines stand there.
+TOP, FOOT = 12, 8
+#: A short word with a stop is an abbreviation if it ends so few of the texts' sentences.
 ABBREVIATION_SHARE, ABBREVIATION_SEEN = 0.004, 60
 #: A length is a limit if it occurs so many times as often as the lengths around it.
 SPIKE, SPIKE_LEAST, SPIKE_NEAR = 8.0, 6, 20
 
-DATE = r"(?:\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d\d-\d\d|\d{1,2}(?:er|\.)? (?:de )?\p{L}+\.? (?:de |del )?\d{4})"
-PAGE_NUMBER = r"(?:[—–-] ?\d{1,4} ?[—–-]|\[\d{1,4}\]|\(?(?:[Pp]ag[eia]\w*|[Ss]eite|[Ff]olio|[Ff]eui\w+|[Bb]latt|[Hh]oja|pp?\.|[Pp]ág\.)[  ]?\d{1,4}(?:[  ]?(?:sur|de|of|von|/)[  ]?\d{1,4})?\)?|\d{1,4} ?/ ?\d{1,4})"
-#: Closing lines, complete: totals with their currency, signatures, places with dates, enclosures, references, recurring headers and footers.
-CLOSING = (
-    r"(?:(?:Total|Net)[\p{L} ]{0,12} ?: ?(?:EUR ?)?\d[\d  .,]*(?:(?:EUR|€|[Ee]uros?)|[.,]\d\d)"
-    r"|Gesamtbetrag ?: ?\d[\d  .,]* ?(?:Euro|EUR|€)"
-    r"|(?:Signature|Gezeichnet|Firmado|Signed|Unterschrift) ?: ?[^:!?]{4,60}"
-    r"|(?:Pour le cabinet|Yours faithfully|Yours sincerely),? [^:!?]{4,60}"
-    r"|(?:Fait à|Signed in|En|Signed at) [^:!?]{3,40}, (?:le |a |den |on )?" + DATE + r"|\p{Lu}[^:!?.,]{3,30}, (?:den|le|a) " + DATE
-    + r"|(?:P\. ?J\.|Anlagen|Anexos|Enclosures?|Annexes|Pi[eè]ces jointes) ?: ?\d{1,4}(?: \p{L}+)?"
-    r"|(?:R[ée]f|Az|Aktenzeichen|Exp)\.? ?:? ?(?:RG )?[A-Z0-9][A-Z0-9/-]{3,20}"
-    r"|/ (?:RG )?\S{4,20} / [cç]\S{8,14}|T\S{2,4} d\S{3,5} r\S{5,8}|[EÉ]\S{3,5} \p{Lu}\S+ & a\S{6,9}|C\S{5,7} \p{Lu}+ - D\S{5,8} (?:RG )?\S{4,14}|(?:RG )?\S{4,14} -- f\S{6,10} \d{1,4} de \d{1,4})"
-)
-HEADER = r"^(?:(?:[^/]{3,40} / (?:RG )?\S{4,20} / [cç]\S{8,14}|www\.\S+ T\S{2,4} d\S{3,5} r\S{5,8}|[EÉ]\S{3,5} \p{Lu}\S+ & a\S{6,9}|C\S{5,7} \p{Lu}+ - D\S{5,8} (?:RG )?\S{4,14}|(?:RG )?\S{4,14} -- f\S{6,10} \d{1,4} de \d{1,4}|" + PAGE_NUMBER + r"|\d{1,4}) +){1,2}"
+DATE = r"(?<!\S)\d{1,2}(?:er|\.)? (?:de )?\p{L}+\.? (?:de |del )?\d{4}\b"
 STOP = r"[.!?][\"'»”’)\]]*$"
-MARKS = ",;:.!?"
 OMISSION = r"(?:…|\.\.\.|\[\.\.\.\]|\(\.\.\.\))[\"'»”’)\]]*$"
+#: The views in the order in which they decide: m masked, e as they are; the number of words. h is a masked pair with the page's own number.
+VIEWS = (("m", 6), ("m", 5), ("m", 4), ("m", 3), ("h", 2), ("e", 3), ("e", 2), ("m", 2), ("e", 1))
+#: Letters that recognition mixes up count as one in the masked view.
+ALIKE = ("clíìîéèêë", "eiiiieeee")
+#: The bitmap: 2**15 rows of 64 words of 64 bits.
+_SLOT = "shiftrightunsigned(h, 49)"
+_WORD = "cast(shiftrightunsigned(h, 43) & 63 as int)"
+_BIT = "cast(shiftrightunsigned(h, 37) & 63 as int)"
 
 
-def words(c: Column) -> Column:
+def plain(line: Column) -> Column:
     """Words with their punctuation, in lower case, runs of digits as 0."""
-    return F.split(F.lower(F.regexp_replace(c, r"\d+", "0")), " ")
+    return F.split(F.lower(F.regexp_replace(line, r"\d+", "0")), " ")
+
+
+def masked(line: Column, number: Column) -> Column:
+    """Words with numbers, dates, the page's own number, capitalised words and ends of sentences masked."""
+    m = F.regexp_replace(line, r"(?<!\S)\d{1,3}(?:[  ]\d{3})+(?!\d)(?:[.,]\d+)?", "0")
+    m = F.concat(F.lit(" "), F.regexp_replace(m, DATE, "0"), F.lit(" "))
+    for before, behind in ((" ", " "), ("[", "]"), (" ", "/"), (" ", ")"), ("(", " ")):
+        own = F.replace(m, F.concat(F.lit(before), number, F.lit(behind)), F.lit(f"{before}#{behind}"))
+        m = F.coalesce(own, m)  # no number: nothing to replace
+    m = F.regexp_replace(m, r"(?<= )[^\s\d]*\d\S*?(?=[.,;:!?)\]]* )", "0")
+    m = F.regexp_replace(m, r"(?<= )0(?: 0)+(?=[.,;:!?)\]]* )", "0")
+    m = F.regexp_replace(m, r"(?<= )(?:[^\s.!?]\S{2,}[^\s.!?]|[0#%€])[)»”\]]*[.!?]+[)»”\]]* ", "x. ")
+    m = F.regexp_replace(m, r"(?<!x\. )(?<=[^ ] )\p{Lu}[\p{L}'’-]*(?![\p{L}'’:-])(?! :)", "N")
+    m = F.lower(F.trim(F.regexp_replace(m, r"N(?: N)+(?!\p{L})", "N")))
+    return F.split(F.translate(m, *ALIKE), " ")
 
 
 def bare(c: Column) -> Column:
-    """A word without the marks behind it."""
-    return F.rtrim(c, F.lit(MARKS))
+    """A word without the marks behind it; marks alone stay."""
+    return F.coalesce(F.nullif(F.rtrim(c, F.lit(",;:.!?")), F.lit("")), c)
+
+
+def gram(view: str, n: int, words: Column, at: Column) -> Column:
+    """Hash of the n words up to place `at`, the last one bare."""
+    kind = "e" if view == "e" else "m"
+    return F.xxhash64(F.lit(f"{kind}{n}"), *[F.get(words, at - k) for k in range(n - 1, 0, -1)], bare(F.get(words, at)))
+
+
+def _abbreviation(word: Column) -> Column:
+    return F.when(F.regexp_like(word, F.lit(r"^\p{L}{1,4}\.$")), F.xxhash64(F.lit("a"), word))
+
 
+def grams_inside(w: Column, m: Column, i: Column, top: int, foot: int) -> Column:
+    """Hashes of all views that end at place i of a text (w plain, m masked) and that other words follow."""
+    out = [F.when((i >= n - 1) & (i < F.size(w) - 1), gram("e", n, w, i)) for v, n in VIEWS if v == "e"]
+    out += [F.when((i >= n - 1 + top) & (i < F.size(m) - 1 - foot), gram("m", n, m, i)) for v, n in VIEWS if v == "m"]
+    return F.array(*out, F.when(i < F.size(w) - 1, _abbreviation(F.get(w, i))))
 
-def grams(w: Column, v: Column, n: int) -> Column:
-    """Hashes of the runs of n words that another word follows; v has the words of w bare, of which the last one is taken."""
-    last = F.size(w) - n - 1
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n - 1)], F.get(v if n > 1 else w, i + n - 1)))
 
+def grams_at_end(w: Column, m: Column) -> dict[str, Column]:
+    """The views of a text's last words by name; null where the text has fewer words."""
+    at = {"e": F.size(w) - 1, "m": F.size(m) - 1, "h": F.size(m) - 1}
+    out = {}
+    for v, n in VIEWS:
+        words = w if v == "e" else m
+        full = at[v] >= n - 1
+        out[f"{v}{n}"] = F.when(full & F.contains(F.element_at(m, -1), F.lit("#")) if v == "h" else full, gram(v, n, words, at[v]))
+    return out | {"a": _abbreviation(F.element_at(w, -1))}
 
-def ending(w: Column, n: int) -> Column:
-    last = F.element_at(w, -1)
-    return F.when(F.size(w) >= n, F.xxhash64(F.lit(n), *[F.element_at(w, k - n) for k in range(n - 1)], bare(last) if n > 1 else last))
+
+def asked_for(grams: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those of grams (h, ...) that may be among asked (h), by the bitmap: all that are, and few others while it is not full."""
+    words = asked.selectExpr(f"{_SLOT} slot", f"{_WORD} word", f"shiftleft(1L, {_BIT}) mask").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    rows = words.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("by")).selectExpr("slot", "transform(sequence(0, 63), i -> coalesce(by[i], 0L)) bits")
+    hit = F.expr(f"shiftrightunsigned(bits[{_WORD}], {_BIT}) & 1L = 1L")
+    return grams.withColumn("slot", F.expr(_SLOT)).join(F.broadcast(staged(rows, "bitmap")), "slot").filter(hit).drop("slot", "bits")  # at most 2**15 rows
 
 
 def limits(lengths: DataFrame) -> DataFrame:
-    """(limit) of (len): lengths at which texts without a sentence end pile up."""
+    """(len) of (len): lengths at which texts without a sentence end pile up, and up to three below them."""
     n = lengths.groupBy("len").agg(F.count("*").alias("n"))
     around = n.select(F.explode(F.sequence(F.col("len") - SPIKE_NEAR, F.col("len") - 4)).alias("len"), "n").groupBy("len").agg(F.sum("n").alias("below"))
-    return n.join(around, "len", "left").filter((F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE * F.coalesce("below", F.lit(0)) / (SPIKE_NEAR - 3))).select(F.col("len").alias("limit"))
+    piled = n.join(around, "len", "left").filter((F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE * F.coalesce("below", F.lit(0)) / (SPIKE_NEAR - 3)))
+    return piled.select(F.explode(F.sequence(F.col("len") - 3, F.col("len"))).alias("len")).distinct().withColumn("at_limit", F.lit(True))
+
 
+def ends_of(base: DataFrame) -> DataFrame:
+    """base (line, number, ...) with the words at the end, plain (w) and masked (m).
+
+    A text whose last word is the page's own number comes once as it is and once without that number (bared).
+    """
+    tail = F.right("line", F.lit(400))
+    lone = F.concat(F.lit(r"\s(?:[—–-] ?)?[\[(]?"), F.col("number"), F.lit(r"(?:\s?/\s?\d+)?[\])]?(?: ?[—–-])?$"))
+    bared = F.nullif(F.regexp_replace(tail, lone, F.lit("")), tail)
+    forms = F.when(bared.isNull(), F.array(F.struct(tail.alias("left"), F.lit(False).alias("bared")))).otherwise(F.array(F.struct(tail.alias("left"), F.lit(False).alias("bared")), F.struct(bared.alias("left"), F.lit(True).alias("bared"))))
+    df = base.withColumn("form", F.explode(forms)).select(*base.columns, "form.*")
+    last = lambda words: F.slice(words, F.greatest(F.size(words) - 7, F.lit(1)), 8)
+    return df.withColumns({"w": last(plain(F.col("left"))), "m": last(masked(F.col("left"), F.col("number"))), "whole_left": F.regexp_like("left", F.lit(STOP))}).drop("left")
 
-def cut_records(records: DataFrame, follows: bool = False) -> DataFrame:
+
+def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) -> DataFrame:
     """(record_id, evidence) of records (record_id, text[, document_id, page_number]) whose text was cut.
 
     evidence: omission (a mark of it), abbreviation (a stop that never ends a text), limit (cut at a length
-    where many are), open (stops where texts go on). Null and blank texts are no cases; rows repeated under
-    one id count once; very long texts are used whole.
+    where many are), inside (stops where texts go on), fragment (stops within a word). Endings that the
+    corpus has too rarely to tell are no cases. Null and blank texts and null ids are no cases; rows repeated
+    under one id count once; very long texts are used whole. References are compared without case and outer blanks.
     """
     own = records.filter(F.col("record_id").isNotNull() & F.col("text").isNotNull())
-    base = own.select("record_id", *(["document_id", "page_number"] if follows else []), one_line("text").alias("line"), F.length("text").alias("len")).filter("line <> ''")
+    number = F.col("page_number").cast("string") if follows else F.lit(None).cast("string")
+    placed = [key_of("document_id").alias("document"), F.col("page_number").alias("page")] if follows else []
+    base = own.select("record_id", *placed, number.alias("number"), one_line("text").alias("line"), F.length("text").alias("len")).filter("line <> ''")
     stop, omitted = F.regexp_like("line", F.lit(STOP)), F.regexp_like("line", F.lit(OMISSION))
-    short_stop = stop & ~omitted & F.regexp_like("line", F.lit(r" \p{L}{1,4}\.$"))
-    tail = F.right("line", F.lit(160))
-    number = F.when(F.col("page_number").isNotNull(), F.col("page_number").cast("string")).otherwise("-") if follows else F.lit("-")
-    plain = F.regexp_extract(tail, r" (\d{1,4})$", 1) == number  # the page's own number behind a finished line
-    body = F.when(plain, F.regexp_replace(tail, r" \d{1,4}$", "")).otherwise(tail)
-    closed = F.regexp_like(tail, F.lit(r"(?:^|[\s(])" + PAGE_NUMBER + "$")) | F.regexp_like(body, F.lit(r"(?:^|\s)" + CLOSING + r"(?:\s+" + PAGE_NUMBER + ")?$")) | (plain & F.regexp_like(body, F.lit(STOP)))
-    w = words(F.col("line"))
-    marked = base.select(
-        "*", omitted.alias("omitted"), short_stop.alias("short_stop"), F.coalesce(closed, F.lit(False)).alias("closed"), (stop & ~omitted).alias("stop"),
-    )
-    open_ = staged(
-        marked.filter("omitted or short_stop or not stop").withColumn("w", F.slice(words(F.right("line", F.lit(400))), -3, 3))
-        .select(*[c for c in ("record_id", "document_id", "page_number") if follows or c == "record_id"], "len", "omitted", "short_stop", "closed", "w", F.when(~F.col("stop"), F.col("len")).alias("open_len"))
-        .distinct(), "ends",
-    )
-    # Where a sentence may go on: the first words of the next page, behind recurring headers.
+    short = stop & ~omitted & F.regexp_like("line", F.lit(r" \p{L}{1,4}\.$"))
+    open_ = base.withColumns({"omitted": omitted, "short_stop": short, "stop": stop & ~omitted}).filter("omitted or short_stop or not stop")
+    key = ["record_id", "len", "omitted", "short_stop", "bared", "closed", "masked_end"]
+    ends = ends_of(open_).withColumns({"closed": F.col("bared") & F.col("whole_left"), "masked_end": F.regexp_like(F.element_at("m", -1), F.lit(r"^(?:n|.*[0#].*)$"))})
+    first = F.lit(None).cast("string")
     if follows:
-        head = F.regexp_replace(F.left(F.regexp_replace(one_line(F.left("text", F.lit(400))), "^[\\x{FEFF}]", ""), F.lit(250)), HEADER, "")
-        nexts = own.select("document_id", (F.col("page_number") - 1).alias("page_number"), head.alias("head")).filter("page_number is not null and head <> ''").groupBy("document_id", "page_number").agg(F.min("head").alias("head"))
-        judged = open_.filter("not closed").join(nexts, ["document_id", "page_number"], "left")
-        judged = judged.withColumn("goes_on", F.coalesce(F.regexp_like("head", F.lit(r"^[\p{Ll}(\d&»€%]")), F.lit(False)))
-        judged = judged.withColumn("first", F.get(words(F.col("head")), F.lit(0)))
-    else:
-        judged = open_.filter("not closed").withColumns({"goes_on": F.lit(False), "first": F.lit(None).cast("string")})
-    ask = {f"e{n}": ending(F.col("w"), n) for n in (3, 2, 1)}
-    two = F.size("w") >= 2
-    ask["b3"] = F.when(two & F.col("first").isNotNull(), F.xxhash64(F.lit(3), F.element_at("w", -2), F.element_at("w", -1), bare(F.col("first"))))
-    ask["b2"] = F.when(F.col("first").isNotNull(), F.xxhash64(F.lit(2), F.element_at("w", -1), bare(F.col("first"))))
-    # The last word as it stands inside texts: bare, or with a comma or a stop behind it.
-    last = bare(F.element_at("w", -1))
-    ask |= {"k0": F.xxhash64(F.lit(1), last), "k1": F.xxhash64(F.lit(1), F.concat(last, F.lit(","))), "k2": F.xxhash64(F.lit(1), F.concat(last, F.lit(".")))}
-    judged = staged(judged.withColumns(ask), "judged")
+        # Where a sentence may go on: the next page's first word, if it is in lower case.
+        nexts = base.select("document", (F.col("page") - 1).alias("page"), F.regexp_extract(F.left("line", F.lit(120)), r"^\x{FEFF}?([\p{Ll}(\d&»€%]\S*)", 1).alias("first")).filter("document is not null and page is not null").groupBy("document", "page").agg(F.min("first").alias("first"))
+        apart = F.coalesce("document", F.concat(F.lit("\x00"), "record_id"))  # null keys do not meet in one task
+        ends = ends.withColumn("document", apart).join(nexts, ["document", "page"], "left")
+        first = F.nullif(F.get(plain(F.col("first")), F.lit(0)), F.lit(""))
+    views = grams_at_end(F.col("w"), F.col("m"))
+    size = F.size("w")
+    views["b3"] = F.when(first.isNotNull() & (size >= 2), F.xxhash64(F.lit("e3"), F.element_at("w", -2), F.element_at("w", -1), bare(first)))
+    views["b2"] = F.when(first.isNotNull(), F.xxhash64(F.lit("e2"), F.element_at("w", -1), bare(first)))
+    each = F.filter(F.array(*[F.struct(F.lit(i).alias("view"), h.alias("h")) for i, h in enumerate(views.values())]), lambda x: x["h"].isNotNull())
+    judged = staged(ends.select(*key, F.when(~F.col("stop"), F.col("len")).alias("open_len"), each.alias("each")).distinct(), "judged")
     # Counts over the whole field, of those n-grams that are asked for.
-    asked = judged.select(F.explode(F.array(*ask)).alias("h")).filter("h is not null").distinct()
-    few = small_enough(asked)
-    every = base.select(w.alias("w")).withColumn("v", F.transform("w", bare)).select(F.explode(F.concat(*[grams(F.col("w"), F.col("v"), n) for n in (3, 2, 1)])).alias("h"))
-    inside = every.join(F.broadcast(asked), "h") if few else every
-    inside = inside.groupBy("h").agg(F.count("*").alias("inside"))
-    ends = base.withColumn("w", F.slice(words(F.right("line", F.lit(400))), -3, 3)).select(F.xxhash64("line").alias("of"), F.explode(F.array(*[ending(F.col("w"), n) for n in (3, 2, 1)])).alias("h"))
-    ends = ends.groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("ends"), F.count("*").alias("texts"))
-    counts = staged(asked.join(inside, "h", "left").join(ends, "h", "left").select("h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inside", "ends", "texts")]), "counts")
-    counts = F.broadcast(counts) if few else counts
-    for c in ask:
-        judged = judged.join(counts.select(F.col("h").alias(c), F.col("inside").alias(f"{c}_in"), F.col("ends").alias(f"{c}_end"), F.col("texts").alias(f"{c}_texts")), c, "left")
-    seen = lambda c: F.coalesce(F.col(f"{c}_in"), F.lit(0)) + F.coalesce(F.col(f"{c}_end"), F.lit(0))
-    share = lambda c: F.coalesce(F.col(f"{c}_end"), F.lit(0)) / F.greatest(seen(c), F.lit(1))
-    limit = F.broadcast(limits(open_.select(F.col("open_len").alias("len")).filter("len is not null")))
-    near = judged.join(limit, F.col("limit").between(F.col("len"), F.col("len") + 3), "left").groupBy(*judged.columns).agg(F.max("limit").alias("limit"))
-    at_limit = F.col("limit").isNotNull()
-    bridged = (F.coalesce("b3_in", F.lit(0)) > 0) | (F.coalesce("b2_in", F.lit(0)) > 0)
-    least = max(WHOLE_ENDS, WHOLE_OF * base.select("record_id").distinct().count())
-    known = F.greatest(*[F.coalesce(f"{c}_in", F.lit(0)) for c in ("k0", "k1", "k2")]) > 0
-    whole = F.lit(False)
-    for c in ("e3", "e2"):
-        whole = whole | (known & (F.col(f"{c}_texts") >= least) & (share(c) >= WHOLE_SHARE))
-    abbreviation = (seen("e1") >= ABBREVIATION_SEEN) & (share("e1") <= ABBREVIATION_SHARE)
+    wanted = judged.select(*key, F.explode("each").alias("x")).select(*key, "x.*")
+    asked = staged(wanted.select("h").distinct(), "asked")
+    texts = base.select(plain(F.col("line")).alias("w"), masked(F.col("line"), F.col("number")).alias("m"))
+    places = texts.select("w", "m", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w"), F.size("m")) - 1)).alias("i"))
+    every = places.select(F.explode(grams_inside(F.col("w"), F.col("m"), F.col("i"), *((TOP, FOOT) if follows else (0, 0)))).alias("h")).filter("h is not null")
+    inside = asked_for(every, asked).groupBy("h").agg(F.count("*").alias("inside"))
+    at_end = grams_at_end(F.col("w"), F.col("m"))
+    final = ends_of(base).select(F.xxhash64("line").alias("of"), F.explode(F.array_distinct(F.array(*at_end.values()))).alias("h")).filter("h is not null")
+    ended = asked_for(final, asked).groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("ends"), F.count("*").alias("texts"))
+    counts = asked.join(inside, "h", "left").join(ended, "h", "left").select("h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inside", "ends", "texts")])
+    found = wanted.join(staged(counts, "counts"), "h")
+    order = {v: i for i, v in enumerate(views)}
+    total, is_ = F.col("inside") + F.col("ends"), lambda *v: F.col("view").isin(*[order[x] for x in v])
+    deciding = (F.col("view") < len(VIEWS)) & (total >= seen)
+    per = found.groupBy(*key).agg(
+        F.min(F.when(deciding, F.struct("view", (F.col("ends") / total).alias("share"), "texts"))).alias("best"),
+        F.coalesce(F.max(F.when(is_("e1"), F.col("inside") <= F.col("ends"))), F.lit(False)).alias("fragment"),
+        F.coalesce(F.max(F.when(is_("b3", "b2"), F.col("inside") > 0)), F.lit(False)).alias("goes_on"),
+        F.coalesce(F.max(F.when(is_("a"), (total >= ABBREVIATION_SEEN) & (F.col("ends") <= ABBREVIATION_SHARE * total))), F.lit(False)).alias("abbreviation"),
+    )
+    piled = limits(judged.select(F.col("open_len").alias("len")).filter("len is not null"))
+    per = per.join(checked_broadcast(piled), "len", "left")
+    closing = (F.col("best.share") >= CLOSING_SHARE) & (F.col("best.texts") >= CLOSING_TEXTS) & (F.col("best.view") < order["e1"]) & (F.col("masked_end") | ~F.col("fragment"))
+    sure = closing & (F.col("best.share") >= SURE_SHARE) & (F.col("best.view") <= order["m3"])
     evidence = (
-        F.when(F.col("omitted"), "omission").when(F.col("short_stop"), F.when(abbreviation, "abbreviation"))
-        .when(F.col("goes_on") & (bridged | ~at_limit), None).when(whole & ~at_limit, None).when(at_limit, "limit").otherwise("open")
+        F.when(F.col("omitted"), "omission").when(F.col("short_stop"), F.when(F.col("abbreviation"), "abbreviation"))
+        .when(F.col("closed") | F.col("goes_on") | sure, None).when(F.col("at_limit"), "limit").when(closing, None)
+        .when(F.col("fragment") & ~F.col("masked_end"), "fragment").when(F.col("best.view").isNotNull(), "inside")
+    )
+    # With its page number or without it: a text that is whole in one form is whole.
+    return (
+        per.select("record_id", "len", evidence.alias("evidence")).groupBy("record_id", "len").agg(F.bool_and(F.col("evidence").isNotNull()).alias("cut"), F.min("evidence").alias("evidence"))
+        .filter("cut").groupBy("record_id").agg(F.min("evidence").alias("evidence"))
     )
-    return near.select("record_id", evidence.alias("evidence")).filter("evidence is not null").groupBy("record_id").agg(F.min("evidence").alias("evidence"))

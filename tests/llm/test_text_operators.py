@@ -13,16 +13,44 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "record_id string, document_id string, page_number int, text string, evidence string")
 
 
+WHOLE = "Le cabinet propose de joindre le bail au dossier avant le 3 mai 2020."
+PEOPLE = ("Anne MARTIN", "Luc PETIT", "Zoé BLANC", "Ali NOIR", "Eva ROUX", "Max LENOIR", "Léa FAURE")
+
+
+def corpus():
+    """Whole pages, and closings that the corpus must teach: totals, signatures, page numbers, running lines."""
+    rows = [(f"w{i}", f"dw{i}", 1, f"Pour mémoire, la somme est due à Dr. Martin. {WHOLE} Il convient de vérifier si le loyer couvre aussi la toiture.", "") for i in range(300)]
+    for i, name in enumerate(PEOPLE):
+        for kind, end in (("t", f"Total TTC : {i + 1} 234,5{i} EUR"), ("s", f"Signature : {name}"), ("p", f"Page {i + 1} sur 9"), ("n", f"{i + 1}"), ("f", f"Etude Dupont & associes {'—'} {i + 1} {'—'}"), ("m", "Etude Dupont & assoeies")):
+            rows.append((f"{kind}{i}", f"d{kind}{i}", i + 1, f"Etude Dupont & {('associes', 'assoeies')[i % 2]} Le point {'a' * (i + 1)} reste ouvert dans cette affaire. {WHOLE} {end}", ""))
+        rows.append((f"g{i}", f"dg{i}", i + 1, f"Le point {'a' * (i + 1)} reste ouvert dans cette affaire. {WHOLE} Etude Dupont & associes", ""))
+    return rows
+
+
+CASES = [
+    ("cut", "d1", 1, f"{WHOLE} Il convient de vérifier si le", ""), ("goes_on", "D2 ", 1, f"{WHOLE} Il convient de vérifier si le", ""), ("next", "d2", 2, "loyer couvre aussi la toiture.", ""),
+    ("behind_header", "d3", 1, f"{WHOLE} Il convient de vérifier si le", ""), ("other", "d3", 2, "www.etude.example Tous droits reserves. Une suite.", ""), ("word", "d4", 1, f"{WHOLE} Il convient de vérif", ""),
+    ("dots", "d6", 1, f"{WHOLE} Il convient de…", ""), ("abbr", "d8", 1, f"{WHOLE} Pour mémoire, la somme est due à Dr.", ""), ("null", "d9", 1, None, ""), ("blank", "d9", 2, " \n", ""),
+    ("cut", "d1", 1, f"{WHOLE} Il convient de vérifier si le", ""), (None, "d1", 1, f"{WHOLE} Il convient de vérifier si le", ""), ("unfiled", None, None, f"{WHOLE} Il convient de vérifier si le", ""),
+]
+
+
 def test_truncation(spark):
-    whole = "Le cabinet propose de joindre le bail au dossier avant le 3 mai 2020."
-    rows = [(f"w{i}", f"dw{i}", 1, f"Pour mémoire, la somme est due à Dr. Martin. {whole} Il convient de vérifier si le loyer couvre aussi la toiture.", "") for i in range(300)]
-    rows += [
-        ("cut", "d1", 1, f"{whole} Il convient de vérifier si le", ""), ("goes_on", "d2", 1, f"{whole} Il convient de vérifier si le", ""), ("next", "d2", 2, "loyer couvre aussi la toiture.", ""),
-        ("total", "d3", 1, f"{whole} Total TTC : 1 234,50 EUR", ""), ("number", "d4", 3, f"{whole} Page 3 sur 4", ""), ("plain", "d5", 2, f"{whole} 2", ""), ("dots", "d6", 1, f"{whole} Il convient de…", ""),
-        ("sign", "d7", 1, f"{whole} Signature : Anne MARTIN", ""), ("abbr", "d8", 1, f"{whole} Pour mémoire, la somme est due à Dr.", ""), ("null", "d9", 1, None, ""), ("blank", "d9", 2, " \n", ""), ("cut", "d1", 1, f"{whole} Il convient de vérifier si le", ""),
-    ]
-    got = {r["record_id"]: r["evidence"] for r in truncation.cut_records(pages(spark, rows), follows=True).collect()}
-    assert got == {"cut": "open", "dots": "omission", "abbr": "abbreviation"}
+    got = {r["record_id"]: r["evidence"] for r in truncation.cut_records(pages(spark, corpus() + CASES), follows=True).collect()}
+    assert got == {"cut": "inside", "behind_header": "inside", "word": "fragment", "dots": "omission", "abbr": "abbreviation", "unfiled": "inside"}
+
+
+def test_truncation_is_decided_by_counts(spark):
+    """Without n-grams seen often enough, only marks of omission and abbreviations are left."""
+    got = {r["record_id"]: r["evidence"] for r in truncation.cut_records(pages(spark, corpus() + CASES), follows=True, seen=10**9).collect()}
+    assert got == {"dots": "omission", "abbr": "abbreviation", "word": "fragment"}
+
+
+def test_truncation_bitmap_loses_nothing(spark):
+    asked = spark.range(0, 3000, 3).selectExpr("xxhash64(id) h")
+    kept = truncation.asked_for(spark.range(3000).selectExpr("xxhash64(id) h", "id"), asked)
+    ids = {r["id"] for r in kept.collect()}
+    assert ids >= set(range(0, 3000, 3)) and len(ids) < 1100
 
 
 def test_truncation_limit_and_empty(spark):
@@ -35,7 +63,7 @@ def test_truncation_limit_and_empty(spark):
 
 def test_truncation_of_recurring_fragments(spark):
     filler = lambda i: "Le bail " + " ".join(["court"] * (i + 1)) + "."
-    rows = [(f"w{i}", f"{filler(i)} En pratique, le loyer reste fixe.") for i in range(40)]
+    rows = [(f"w{i}", f"{filler(i)} En pratique, le loyer reste fixe, votre mandat aussi.") for i in range(40)]
     rows += [(f"f{i}", f"{filler(i)} En pra") for i in range(12)]  # inside a word
     rows += [(f"c{i}", f"{filler(i)} En pratique") for i in range(12)]  # before a comma that always follows
     rows += [(f"e{i}", f"{filler(i)} Votre bail") for i in range(12)]  # a known word and a closing of many texts
