@@ -9,6 +9,7 @@ no record (fixpoint); every record is taken at most once, so cycles end.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,13 +26,15 @@ class Reference:
     column: str
     target: str
     reported: bool = True
+    #: Whether the target's rows can carry the status `deleted`.
+    marked: bool = False
 
 
 #: The foreign keys of the platform; matters.client_id only passes orphanhood on.
 GRAPH = (
-    Reference("documents", "matter_id", "matters"),
+    Reference("documents", "matter_id", "matters", marked=True),
     Reference("documents", "client_id", "clients"),
-    Reference("tasks", "matter_id", "matters"),
+    Reference("tasks", "matter_id", "matters", marked=True),
     Reference("pages", "document_id", "documents"),
     Reference("matters", "client_id", "clients", reported=False),
 )
@@ -43,9 +46,9 @@ def key_of(column: str | Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
-def _targets(table: DataFrame) -> DataFrame:
+def _targets(table: DataFrame, by_status: bool) -> DataFrame:
     """One row per key: earliest created_at, and whether the latest delivery has status deleted."""
-    marked = F.lower(F.trim(F.col("status"))) == "deleted" if "status" in table.columns and "client_id" in table.columns else F.lit(False)
+    marked = F.lower(F.trim(F.col("status"))) == "deleted" if by_status else F.lit(False)
     return (
         table.select(key_of("id").alias("_key"), F.col("created_at").alias("_at"), F.coalesce(marked, F.lit(False)).alias("_marked"))
         .filter("_key is not null")
@@ -66,9 +69,7 @@ def direct(tables: dict[str, DataFrame], ref: Reference) -> DataFrame:
         .select(key_of("entity_id").alias("_key"), F.lit(True).alias("_logged")).filter("_key is not null").distinct()
     )
     keys = own.groupBy("_key").agg(F.min("_row_at").alias("_least"))
-    there = _targets(tables[ref.target])
-    if ref.target != "matters":
-        there = there.withColumn("_marked", F.lit(False))
+    there = _targets(tables[ref.target], ref.marked)
     unsound = (
         keys.join(there.withColumn("_there", F.lit(True)), "_key", "left").join(logs, "_key", "left")
         .select("_key", "_first", F.when(F.col("_there").isNull(), F.when(F.col("_logged"), "deleted").otherwise("missing")).when(F.col("_marked"), "deleted").when(F.col("_first") > F.col("_least"), "late").alias("reason"))
@@ -94,7 +95,7 @@ def unsound_references(tables: dict[str, DataFrame], graph: tuple[Reference, ...
     return out
 
 
-def cascade(tables: dict[str, DataFrame], graph: tuple[Reference, ...] = GRAPH, rounds: int = 32) -> DataFrame:
+def cascade(tables: dict[str, DataFrame], graph: tuple[Reference, ...] = GRAPH) -> DataFrame:
     """(table_name, row_id, kind, depth, created_at): direct orphans at depth 0, inherited ones below.
 
     A record is an orphan if one of its references is missing or deleted, or leads to an orphan.
@@ -105,9 +106,10 @@ def cascade(tables: dict[str, DataFrame], graph: tuple[Reference, ...] = GRAPH,
     for h in heads[1:]:
         front = front.unionByName(h)
     front = staged(front.groupBy("table_name", "row_id").agg(F.min("created_at").alias("created_at")), "orphans")
+    seen = front
     found = [front.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)})]
     children = {t: [r for r in graph if r.target == t] for t in {r.target for r in graph}}
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):  # ends: every round takes new records only
         steps = []
         for target, refs in children.items():
             lost = front.filter(F.col("table_name") == target).select(key_of("row_id").alias("_key")).distinct()
@@ -123,12 +125,12 @@ def cascade(tables: dict[str, DataFrame], graph: tuple[Reference, ...] = GRAPH,
         for s in steps[1:]:
             new = new.unionByName(s)
         new = new.groupBy("table_name", "row_id").agg(F.min("created_at").alias("created_at"))
-        for f in found:
-            new = new.join(f.select("table_name", "row_id"), ["table_name", "row_id"], "left_anti")
+        new = new.join(seen.select("table_name", "row_id"), ["table_name", "row_id"], "left_anti")
         front = staged(new, "orphans")
         if front.isEmpty():
             break
         found.append(front.withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)}))
+        seen = seen.unionByName(front)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
