@@ -39,8 +39,8 @@ STOP = r"[.!?][\"'»”’)\]]*$"
 OMISSION = r"(?:…|\.\.\.|\[\.\.\.\]|\(\.\.\.\))[\"'»”’)\]]*$"
 #: The views in the order in which they decide: m masked, e as they are; the number of words. h is a masked pair with the page's own number.
 VIEWS = (("m", 6), ("m", 5), ("m", 4), ("m", 3), ("h", 2), ("e", 3), ("e", 2), ("m", 2), ("e", 1))
-#: Letters that recognition mixes up count as one in the masked view.
-ALIKE = ("clíìîéèêë", "eiiiieeee")
+#: Characters of a text's end that its last words are taken from.
+TAIL = 240
 #: The bitmap: 2**15 rows of 64 words of 64 bits.
 _SLOT = "shiftrightunsigned(h, 49)"
 _WORD = "cast(shiftrightunsigned(h, 43) & 63 as int)"
@@ -54,17 +54,16 @@ def plain(line: Column) -> Column:
 
 def masked(line: Column, number: Column) -> Column:
     """Words with numbers, dates, the page's own number, capitalised words and ends of sentences masked."""
-    m = F.regexp_replace(line, r"(?<!\S)\d{1,3}(?:[  ]\d{3})+(?!\d)(?:[.,]\d+)?", "0")
-    m = F.concat(F.lit(" "), F.regexp_replace(m, DATE, "0"), F.lit(" "))
+    m = F.concat(F.lit(" "), F.regexp_replace(line, DATE, "0"), F.lit(" "))
     for before, behind in ((" ", " "), ("[", "]"), (" ", "/"), (" ", ")"), ("(", " ")):
         own = F.replace(m, F.concat(F.lit(before), number, F.lit(behind)), F.lit(f"{before}#{behind}"))
         m = F.coalesce(own, m)  # no number: nothing to replace
-    m = F.regexp_replace(m, r"(?<= )[^\s\d]*\d\S*?(?=[.,;:!?)\]]* )", "0")
-    m = F.regexp_replace(m, r"(?<= )0(?: 0)+(?=[.,;:!?)\]]* )", "0")
-    m = F.regexp_replace(m, r"(?<= )(?:[^\s.!?]\S{2,}[^\s.!?]|[0#%€])[)»”\]]*[.!?]+[)»”\]]* ", "x. ")
-    m = F.regexp_replace(m, r"(?<!x\. )(?<=[^ ] )\p{Lu}[\p{L}'’-]*(?![\p{L}'’:-])(?! :)", "N")
-    m = F.lower(F.trim(F.regexp_replace(m, r"N(?: N)+(?!\p{L})", "N")))
-    return F.split(F.translate(m, *ALIKE), " ")
+    # Each pattern begins with a plain character: lookbehinds at every place of a text cost several times as much.
+    m = F.regexp_replace(m, r" [^ \d]*\d[^ ]*?(?=[.,;:!?)\]]* )", " 0")
+    m = F.regexp_replace(m, r"0(?: 0)+(?![^ .,;:!?)\]])", "0")
+    m = F.regexp_replace(m, r" (?:[^ .!?]{4,}|[0#%€])[)»”\]]*[.!?]+[)»”\]]* ", " x. ")
+    m = F.regexp_replace(m, r"(?<!x\.) \p{Lu}[\p{L}'’-]*+(?!:)(?! :)", " N")
+    return F.split(F.lower(F.trim(F.regexp_replace(m, r"N(?: N)+(?!\p{L})", "N"))), " ")
 
 
 def bare(c: Column) -> Column:
@@ -117,17 +116,17 @@ def limits(lengths: DataFrame) -> DataFrame:
 
 
 def ends_of(base: DataFrame) -> DataFrame:
-    """base (line, number, ...) with the words at the end, plain (w) and masked (m).
+    """base (tail, number, ...) with the words at the end, plain (w) and masked (m).
 
     A text whose last word is the page's own number comes once as it is and once without that number (bared).
     """
-    tail = F.right("line", F.lit(400))
+    tail = F.col("tail")
     lone = F.concat(F.lit(r"\s(?:[—–-] ?)?[\[(]?"), F.col("number"), F.lit(r"(?:\s?/\s?\d+)?[\])]?(?: ?[—–-])?$"))
     bared = F.nullif(F.regexp_replace(tail, lone, F.lit("")), tail)
     forms = F.when(bared.isNull(), F.array(F.struct(tail.alias("left"), F.lit(False).alias("bared")))).otherwise(F.array(F.struct(tail.alias("left"), F.lit(False).alias("bared")), F.struct(bared.alias("left"), F.lit(True).alias("bared"))))
     df = base.withColumn("form", F.explode(forms)).select(*base.columns, "form.*")
     last = lambda words: F.slice(words, F.greatest(F.size(words) - 7, F.lit(1)), 8)
-    return df.withColumns({"w": last(plain(F.col("left"))), "m": last(masked(F.col("left"), F.col("number"))), "whole_left": F.regexp_like("left", F.lit(STOP))}).drop("left")
+    return df.withColumns({"w": last(plain(F.col("left"))), "m": last(masked(F.col("left"), F.col("number"))), "whole_left": F.regexp_like("left", F.lit(STOP))}).drop("left", "tail")
 
 
 def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) -> DataFrame:
@@ -141,16 +140,17 @@ def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) ->
     own = records.filter(F.col("record_id").isNotNull() & F.col("text").isNotNull())
     number = F.col("page_number").cast("string") if follows else F.lit(None).cast("string")
     placed = [key_of("document_id").alias("document"), F.col("page_number").alias("page")] if follows else []
-    base = own.select("record_id", *placed, number.alias("number"), one_line("text").alias("line"), F.length("text").alias("len")).filter("line <> ''")
-    stop, omitted = F.regexp_like("line", F.lit(STOP)), F.regexp_like("line", F.lit(OMISSION))
-    short = stop & ~omitted & F.regexp_like("line", F.lit(r" \p{L}{1,4}\.$"))
-    open_ = base.withColumns({"omitted": omitted, "short_stop": short, "stop": stop & ~omitted}).filter("omitted or short_stop or not stop")
+    base = own.select("record_id", *placed, number.alias("number"), "text", one_line(F.right(F.rtrim(F.col("text"), F.lit(" \t\r\n\f\xa0")), F.lit(TAIL))).alias("tail"), F.length("text").alias("len")).filter("tail <> ''")
+    mark = F.right("tail", F.lit(12))
+    stop, omitted = F.regexp_like(mark, F.lit(STOP)), F.regexp_like(mark, F.lit(OMISSION))
+    short = stop & ~omitted & F.regexp_like(mark, F.lit(r" \p{L}{1,4}\.$"))
+    open_ = base.drop("text").withColumns({"omitted": omitted, "short_stop": short, "stop": stop & ~omitted}).filter("omitted or short_stop or not stop")
     key = ["record_id", "len", "omitted", "short_stop", "bared", "closed", "masked_end"]
     ends = ends_of(open_).withColumns({"closed": F.col("bared") & F.col("whole_left"), "masked_end": F.regexp_like(F.element_at("m", -1), F.lit(r"^(?:n|.*[0#].*)$"))})
     first = F.lit(None).cast("string")
     if follows:
         # Where a sentence may go on: the next page's first word, if it is in lower case.
-        nexts = base.select("document", (F.col("page") - 1).alias("page"), F.regexp_extract(F.left("line", F.lit(120)), r"^\x{FEFF}?([\p{Ll}(\d&»€%]\S*)", 1).alias("first")).filter("document is not null and page is not null").groupBy("document", "page").agg(F.min("first").alias("first"))
+        nexts = base.select("document", (F.col("page") - 1).alias("page"), F.regexp_extract(F.left("text", F.lit(120)), r"^[\s\x{FEFF}\x{A0}]*([\p{Ll}(\d&»€%]\S*)", 1).alias("first")).filter("document is not null and page is not null").groupBy("document", "page").agg(F.min("first").alias("first"))
         apart = F.coalesce("document", F.concat(F.lit("\x00"), "record_id"))  # null keys do not meet in one task
         ends = ends.withColumn("document", apart).join(nexts, ["document", "page"], "left")
         first = F.nullif(F.get(plain(F.col("first")), F.lit(0)), F.lit(""))
@@ -163,12 +163,12 @@ def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) ->
     # Counts over the whole field, of those n-grams that are asked for.
     wanted = judged.select(*key, F.explode("each").alias("x")).select(*key, "x.*")
     asked = staged(wanted.select("h").distinct(), "asked")
-    texts = base.select(plain(F.col("line")).alias("w"), masked(F.col("line"), F.col("number")).alias("m"))
+    texts = base.select("number", one_line("text").alias("line")).select(plain(F.col("line")).alias("w"), masked(F.col("line"), F.col("number")).alias("m"))
     places = texts.select("w", "m", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w"), F.size("m")) - 1)).alias("i"))
     every = places.select(F.explode(grams_inside(F.col("w"), F.col("m"), F.col("i"), *((TOP, FOOT) if follows else (0, 0)))).alias("h")).filter("h is not null")
     inside = asked_for(every, asked).groupBy("h").agg(F.count("*").alias("inside"))
     at_end = grams_at_end(F.col("w"), F.col("m"))
-    final = ends_of(base).select(F.xxhash64("line").alias("of"), F.explode(F.array_distinct(F.array(*at_end.values()))).alias("h")).filter("h is not null")
+    final = ends_of(base.select(F.xxhash64("text").alias("of"), "tail", "number")).select("of", F.explode(F.array_distinct(F.array(*at_end.values()))).alias("h")).filter("h is not null")
     ended = asked_for(final, asked).groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("ends"), F.count("*").alias("texts"))
     counts = asked.join(inside, "h", "left").join(ended, "h", "left").select("h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inside", "ends", "texts")])
     found = wanted.join(staged(counts, "counts"), "h")
