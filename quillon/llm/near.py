@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.runtime import checked_broadcast, staged
 
 BITS, BANDS, ROWS = 256, 24, 3
-#: Six standard deviations or more above the fingerprint distance expected at the threshold: see radius().
+#: Records up to which a group is compared directly, rows of a block of comparisons, records from which a shard is cut.
 LEAF, BLOCK, HOT = 64, 1024, 20_000
 _RNG = np.random.default_rng(20_240_607)
 _MULTIPLY = (_RNG.integers(1, 1 << 32, BITS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -241,20 +241,15 @@ def similar_classes(sigs: DataFrame, threshold: float) -> DataFrame:
     """(a, b): classes a < b whose fingerprints are within the radius in some shard."""
     reps = sigs.groupBy("class").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     entries = staged(reps, "shards").select(F.explode("keys").alias("key"), "class", "fp")
-    # A bounded table of counts tells which keys may be hot; their shards are cut into blocks.
-    slots = 1 << 16
-    loads = {r["s"]: r["n"] for r in entries.groupBy(F.pmod("key", F.lit(slots)).alias("s")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).collect()}
-    if loads:
-        parts = F.create_map(*[x for s, n in loads.items() for x in (F.lit(s), F.lit(-(-n // HOT) + 1))])
-        k = F.coalesce(F.element_at(parts, F.pmod("key", F.lit(slots))), F.lit(1))
-        mine = F.pmod(F.xxhash64("class", F.lit(7)), F.col("k")).cast("int")
-        cut = entries.withColumn("k", k).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        entries = cut.select(
-            "key", (F.least("mine", "other") * F.col("k") + F.greatest("mine", "other")).cast("bigint").alias("block"), "class",
-            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "fp",
-        )
-    else:
-        entries = entries.select("key", F.lit(0).cast("bigint").alias("block"), "class", F.lit(0).alias("side"), "fp")
+    # Shards of more than HOT records are cut into k parts, and every two parts meet in a task of their own.
+    hot = entries.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key", (F.ceil(F.col("n") / HOT) + 1).cast("int").alias("k"))
+    split = entries.join(checked_broadcast(staged(hot, "hot")), "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    mine = F.pmod(F.xxhash64("class", F.lit(7)), F.col("k")).cast("int")
+    cut = split.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    entries = cut.select(
+        "key", (F.least("mine", "other") * F.col("k") + F.greatest("mine", "other")).cast("bigint").alias("block"), "class",
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "fp",
+    )
     placed = entries.repartition("key", "block").sortWithinPartitions("key", "block")
     return placed.mapInArrow(_search_shards(radius(threshold)), "a bigint, b bigint").distinct()
 
@@ -296,8 +291,11 @@ def near_pairs(df: DataFrame, key: str, text: str, kind: str = "words5", thresho
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a smaller: pairs of records, copies of one class included."""
     copies = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1")
-    several = members.join(copies.select("rep"), "rep", "left_semi")
-    within = several.select(F.col("id").alias("x"), "rep").join(several.select(F.col("id").alias("y"), "rep"), "rep").filter("x < y").select("x", "y")
+    # The output is quadratic in a class's copies; its rows come from as many tasks as the class has thousands.
+    several = members.join(copies, "rep").withColumn("salts", F.ceil(F.col("n") / 1000).cast("int"))
+    left = several.select(F.col("id").alias("x"), "rep", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    right = several.select(F.col("id").alias("y"), "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    within = left.join(right, ["rep", "salt"]).filter("x < y").select("x", "y")
     one = lambda c, to: members.select(F.col("rep").alias(c), F.col("id").alias(to))
     across = pairs.select("rep_a", "rep_b").join(one("rep_a", "x"), "rep_a").join(one("rep_b", "y"), "rep_b").select("x", "y")
     both = within.unionByName(across)
