@@ -5,8 +5,8 @@ the driver. Dynamic programming over it chooses the bucket boundaries of least p
 under the token budget are then planned over the bucket counts: each is led by the largest bucket
 that still has items, and a subset sum over the other buckets fills what is left. A plan says how
 often a batch repeats, so it is as short for a billion items as for a thousand; every item finds
-its container from its rank within its bucket. Ranks are counted in shards, so that one bucket may
-hold any share of the rows.
+its container from its rank within its bucket. Ranks are counted in shards of a bounded number of
+rows, as many as a bucket's count asks for, so that one bucket may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.runtime import staged
+from quillon.runtime import checked_broadcast, staged
 
-CAPACITY, BUCKETS, SHARDS = 2048, 128, 32
+CAPACITY, BUCKETS = 2048, 128
+#: Rows of a shard, in which ranks are counted by one task.
+SHARD_ROWS = 100_000
 
 
 def choose_boundaries(histogram: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -94,17 +96,18 @@ def plan_batches(bounds: np.ndarray, counts: np.ndarray, capacity: int = CAPACIT
     return pd.DataFrame(rows, columns=["bucket", "first_rank", "end_rank", "per", "first_container"])
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, buckets: int = BUCKETS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(key, piece, n_tokens, container_id): every item in one container, oversized ones in several.
 
     An item is split only if it is larger than the capacity: its full pieces fill containers of their
     own and the rest is packed like an item. Null sizes and sizes below 1 get no container. Repeated
-    keys are separate items. Ties are ordered by key. An empty input gives no rows.
+    keys are separate items, and may be any share of the rows. Ties are ordered by key, those of one key by
+    their place in the input. An empty input gives no rows.
     """
     spark = sizes.sparkSession
     items = sizes.select(F.col(key).alias(key), F.col(size).cast("bigint").alias("_n")).filter("_n >= 1")
     whole = F.floor((F.col("_n") - 1) / capacity)  # pieces besides the last one; an exact multiple has a full last one
-    items = staged(items.withColumns({"_whole": whole, "_rest": F.col("_n") - whole * capacity}), "sizes")
+    items = staged(items.withColumns({"_whole": whole, "_rest": F.col("_n") - whole * capacity, "_row": F.monotonically_increasing_id()}), "sizes")
     seen = {r["_rest"]: r["n"] for r in items.groupBy("_rest").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)
     for s, n in seen.items():
@@ -116,14 +119,15 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, bucket
     packed = int(((plan.end_rank - plan.first_rank) // plan.per + plan.first_container).max()) if len(plan) else 0
     # The rank of an item within its bucket: its place in a shard plus what the shards before hold.
     bucket_of = F.element_at(F.array(*[F.lit(int(b)) for b in within]), (F.col("_rest") + 1).cast("int"))
-    ranked = items.withColumns({"_bucket": bucket_of, "_shard": F.pmod(F.xxhash64(key, "_n"), F.lit(SHARDS))})
+    shards = F.element_at(F.array(*[F.lit(max(1, -(-int(c) // shard_rows))) for c in counts]), F.col("_bucket") + 1) if len(counts) else F.lit(1)
+    ranked = items.withColumn("_bucket", bucket_of).withColumn("_shard", F.pmod(F.xxhash64(key, "_n", "_row"), shards))
     before = (
         ranked.groupBy("_bucket", "_shard").agg(F.count("*").alias("_c"))
         .withColumn("_before", F.sum("_c").over(Window.partitionBy("_bucket").orderBy("_shard")) - F.col("_c"))
         .drop("_c")
-    )  # at most buckets x SHARDS rows
-    ranked = ranked.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket", "_shard").orderBy(key, "_n")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["_bucket", "_shard"]).withColumn("_rank", F.col("_at") + F.col("_before"))
+    )  # a row for each shard_rows items and one more for each bucket
+    ranked = ranked.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket", "_shard").orderBy(key, "_n", "_row")) - 1)
+    ranked = ranked.join(checked_broadcast(before), ["_bucket", "_shard"]).withColumn("_rank", F.col("_at") + F.col("_before"))
     width = int(plan.end_rank.max()) + 1 if len(plan) else 1
     starts = (plan.bucket * width + plan.first_rank).to_numpy(np.int64)
     first, per, container = (plan[c].to_numpy(np.int64) for c in ("first_rank", "per", "first_container"))
@@ -137,11 +141,17 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, bucket
     kind = sizes.schema[key].dataType.simpleString()
     last = ranked.select(key, "_whole", "_rest", "_bucket", "_rank").mapInPandas(place, f"`{key}` {kind}, _whole bigint, _rest bigint, container_id bigint")
     rest = last.select(key, F.col("_whole").alias("piece"), F.col("_rest").alias("n_tokens"), "container_id")
-    # Full pieces: their containers are numbered behind the packed ones, apart for each task.
+    # Full pieces: their containers are numbered behind the packed ones, shard by shard of the oversized items.
+    large = items.filter("_whole > 0")
+    slices = max(1, -(-large.count() // shard_rows))
+    large = large.withColumn("_shard", F.pmod(F.xxhash64(key, "_n", "_row"), F.lit(slices)))
+    held = large.groupBy("_shard").agg(F.sum("_whole").alias("_c"))
+    held = held.withColumn("_before", F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_shard")) - F.col("_c")).drop("_c")  # a row for each shard_rows items
+    in_shard = Window.partitionBy("_shard").orderBy(key, "_n", "_row")
     full = (
-        items.filter("_whole > 0").withColumn("_base", F.monotonically_increasing_id())
-        .select(key, "_base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - 1)).alias("piece"))
-        .select(key, "piece", F.lit(capacity).cast("bigint").alias("n_tokens"), (F.lit(packed) + F.col("_base") * 1_000_000 + F.col("piece")).alias("container_id"))
+        large.withColumn("_at", F.sum("_whole").over(in_shard) - F.col("_whole")).join(checked_broadcast(held), "_shard")
+        .select(key, "_at", "_before", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - 1)).alias("piece"))
+        .select(key, "piece", F.lit(capacity).cast("bigint").alias("n_tokens"), (F.lit(packed) + F.col("_before") + F.col("_at") + F.col("piece")).alias("container_id"))
     )
     return rest.unionByName(full)
 

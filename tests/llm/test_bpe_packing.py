@@ -84,6 +84,14 @@ def test_packing(spark, sizes):
         assert len(held) <= 1.08 * -(-sum(want.values()) // 2048) + 260  # 700 fits twice only
 
 
+def test_packing_in_many_shards_and_partitions(spark):
+    """Shards from counts, one key for a third of the rows, and oversized items in more partitions than a thousand."""
+    df = spark.range(0, 2400, 1, 1200).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), (F.lit(2049) + F.col("id") % 5000).alias("n"))
+    rows = packing.pack(df, "k", "n", shard_rows=50).groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
+    r = rows.agg(F.max("t").alias("most"), F.sum("t").alias("all"), F.count("*").alias("n"), F.max("container_id").alias("last")).head()
+    assert r["most"] <= 2048 and r["all"] == sum(2049 + i % 5000 for i in range(2400)) and r["last"] == r["n"] - 1
+
+
 def test_fill_on_the_tables(spark, data):
     from quillon.llm import queries
 
