@@ -101,7 +101,7 @@ def p6_entities(spark: SparkSession, root: str) -> DataFrame:
     return _names(spark, root)
 
 
-def _personal(spark: SparkSession, root: str) -> tuple[DataFrame, tuple[bytes, bytes]]:
+def _personal(spark: SparkSession, root: str) -> tuple[DataFrame, personal.Lexicon]:
     documents = load(spark, root, "documents").select("id", "summary", "persons")
     text = lambda df, field, c: df.select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col(c).alias("text"))
     texts = (
@@ -109,8 +109,7 @@ def _personal(spark: SparkSession, root: str) -> tuple[DataFrame, tuple[bytes, b
         .unionByName(text(documents.select("id", F.explode("persons").alias("person")), "documents.persons", "person"))
     )
     people = documents.select(F.explode("persons").alias("name")).unionByName(load(spark, root, "matters").select(F.col("responsible").alias("name"))).unionByName(load(spark, root, "users").select("name"))
-    family, given = personal.name_words(people)
-    return texts, (personal.bloom(family), personal.bloom(given))
+    return texts, personal.Lexicon.of(people)
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:

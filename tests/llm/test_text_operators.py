@@ -170,8 +170,7 @@ TEXT = (
 
 @pytest.fixture(scope="module")
 def lexicon(spark):
-    family, given_ = personal.name_words(spark.createDataFrame([("Anne MARTIN",), ("Anne DUPONT",), (None,)], "name string"))
-    return personal.bloom(family), personal.bloom(given_)
+    return personal.Lexicon.of(spark.createDataFrame([("Anne MARTIN",), ("Anne DUPONT",), (None,)], "name string"))
 
 
 def test_personal_data(spark, lexicon):
@@ -185,10 +184,28 @@ def test_personal_data(spark, lexicon):
     assert out["n"] is None and out["e"] == ""
     assert "MARTIN" not in out["r"].replace("SAS Martin", "") and "RG 21/51483 du 23/06/2025, 107 755,61 EUR" in out["r"]
     assert out["r"].startswith("Monsieur [NAME ") and "demeure [ADDRESS " in out["r"]
+    dated = {r["record_id"]: r["text"] for r in personal.redacted(df, lexicon, b"k", dates=True).collect()}["r"]
+    assert "23/06/2025" not in dated and len(dated) == len(out["r"])
+
+
+def test_a_filter_alone_finds_no_name(spark, lexicon):
+    """What only the filters let through is held against the words and left out."""
+    from dataclasses import replace
+
+    df = spark.createDataFrame([("f", "r", "Hier Anne MARTIN et Anne DUPONT sont venues.")], "field_name string, record_id string, text string")
+    some = replace(lexicon, family=lexicon.family.filter("word <> 'dupont'"))
+    assert [r["value"] for r in personal.found(df, some).collect()] == ["Anne MARTIN"]
+    assert personal.found(df.limit(0), lexicon).count() == 0
+
+
+def test_names_behind_titles(spark, lexicon):
+    df = spark.createDataFrame([("f", "r", "Madame Zoé QUILLARD a signé, Dr Luc-Marie BRO aussi; Madame la Directrice et Me SARL ont lu.")], "field_name string, record_id string, text string")
+    assert sorted(r["value"] for r in personal.found(df, lexicon).collect()) == ["Luc-Marie BRO", "Zoé QUILLARD"]
+    assert "QUILLARD" not in personal.redacted(df, lexicon, b"k").head()["text"]
 
 
 def test_very_long_text(lexicon):
-    finder = personal.NameFinder(*lexicon)
+    finder = personal.NameFinder(*lexicon.blooms)
     assert len(personal.find("Anne MARTIN écrit. " * 5000, finder)) == 5000
     assert personal.find("1" * 100_000, finder) == []
 
@@ -201,7 +218,59 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(value):
     assert kind(p) == kind(value) and personal.pseudonym(p, b"key", back=True) == value
 
 
+def test_phone_spellings_stay_linked():
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    one, two, three = (personal.phone_pseudonym(x, b"k") for x in ("+33 6 12 34 56 78", "06 12 34 56 78", "0033 (0)6.12.34.56.78"))
+    assert one.startswith("+33 6 ") and two.startswith("06 ") and three.startswith("0033 (0)6.")
+    assert digits(one)[-9:] == digits(two)[-9:] == digits(three)[-9:] != "612345678"
+    assert digits(personal.phone_pseudonym("+44 20 7946 0123", b"k"))[-8:] == digits(personal.phone_pseudonym("020 7946 0123", b"k"))[-8:]
+    assert personal.phone_pseudonym("(030) 23125-020", b"k").startswith("(030) ")
+
+
+NUMBERS = {
+    "spi": lambda n: (b := f"{n % 4}{n % 10**9:09d}") + f"{int(b) % 511:03d}", "card": lambda n: (b := f"T{n % 10**8:08d}") + str(personal._weights_731(b)),
+    "tax": lambda n: (b := f"{1 + n % 9}{n % 10**9:09d}") + str(personal._mod_11_10(b)), "nif": lambda n: f"{n % 10**8:08d}-" + personal._SPANISH[n % 10**8 % 23], "nie": lambda n: f"Y{n % 10**7:07d}" + personal._SPANISH[(10**7 + n % 10**7) % 23],
+    "nir": lambda n: (b := f"{1 + n % 2}{n % 100:02d}{1 + n % 12:02d}{('75', '2A', '2B')[n % 3]}{n % 10**6:06d}") + f"{personal._social_security(b):02d}",
+    "nino": lambda n: f"AB{n % 10**6:06d}C", "passport": lambda n: f"{n % 100:02d}AB{n % 10**5:05d}",
+}
+
+
+def valid(kind, x):
+    x = x.replace("-", "")
+    return {
+        "spi": lambda: int(x[:10]) % 511 == int(x[10:]), "card": lambda: personal._weights_731(x[:9]) == int(x[9]), "tax": lambda: personal._mod_11_10(x[:10]) == int(x[10]), "nif": lambda: personal._SPANISH[int(x[:8]) % 23] == x[8],
+        "nie": lambda: personal._SPANISH[int("XYZ".find(x[0])) * 10**7 % 23 - 23 + int(x[1:8]) % 23] == x[8] or personal._SPANISH[(10**7 * "XYZ".find(x[0]) + int(x[1:8])) % 23] == x[8], "nir": lambda: personal._social_security(x[:13]) == int(x[13:]),
+    }.get(kind, lambda: True)()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(sorted(NUMBERS)), st.integers(0, 10**12))
+def test_valid_numbers_become_valid_ones(kind, n):
+    x = NUMBERS[kind](n)
+    p = personal.id_pseudonym(x, b"key")
+    assert valid(kind, x) and valid(kind, p) and len(p) == len(x) and personal.id_pseudonym(p, b"key", back=True) == x
+    spaced = f"{x[:2]} {x[2:]}"
+    assert personal.id_pseudonym(spaced, b"key").replace(" ", "") == p
+    wrong = x[:-1] + (chr(65 + (ord(x[-1]) - 64) % 26) if x[-1].isalpha() else str((int(x[-1]) + 1) % 10))
+    if kind in ("spi", "card", "tax", "nir") or (kind in ("nif", "nie") and wrong[-1] in personal._SPANISH):
+        assert not valid(kind, wrong) and not valid(kind, personal.id_pseudonym(wrong, b"key"))
+
+
+def test_check_digits_of_published_examples():
+    assert personal._social_security("1234567890123") == 97 - 1234567890123 % 97 and personal._mod_11_10("8609574271") == 9 and personal._weights_731("T22000129") == 3
+    assert personal._SPANISH[12345678 % 23] == "Z"
+
+
+def test_dates_keep_their_format():
+    text = "Né le 29/02/2020, vu le 2020-02-29, puis le 31/02/2020 et le 3.4.2021."
+    out = personal.dates_replaced(text, b"k")
+    a, b = out[6:16], out[24:34]
+    assert a != "29/02/2020" and a == f"{b[8:]}/{b[5:7]}/{b[:4]}" and "31/02/2020" in out
+
+
 def test_feistel_is_a_permutation():
+    assert sorted(personal.permuted(v, 137, b"k") for v in range(137)) == list(range(137))
+    assert all(personal.permuted(personal.permuted(v, 1200, b"k"), 1200, b"k", back=True) == v for v in range(1200))
     for digits, base in ((1, 10), (2, 10), (3, 10), (2, 26)):
         assert sorted(personal.feistel(v, digits, base, b"k") for v in range(base**digits)) == list(range(base**digits))
     day = dt.date(2020, 2, 29)
