@@ -2,8 +2,8 @@
 
 All in Spark SQL. A text that ends without a sentence's stop is held against the whole field: how often its
 last words stand inside texts with other words behind them, and how often at an end. Two views are counted:
-the words as they are, and masked ones (numbers and dates as 0, the page's own number as #, capitalised words
-as n, a word with a stop behind it as x.), so that closing lines, totals, signatures, page numbers and running
+the words as they are but for numbers (0, dates as well, the page's own number #), and masked ones (capitalised
+words as N, a word with a stop behind it as x.), so that closing lines, totals, signatures, page numbers and running
 lines are learned from the corpus as n-grams that are mostly terminal; there is no list of them. The longest
 view that has been seen often enough decides: trigrams first of all, longer masked n-grams before them, pairs
 and single words where trigrams are too rare. A text whose last words go on nearly always is cut, one whose
@@ -38,7 +38,7 @@ DATE = r"(?<!\S)\d{1,2}(?:er|\.)? (?:de )?\p{L}+\.? (?:de |del )?\d{4}\b"
 STOP = r"[.!?][\"'»”’)\]]*$"
 OMISSION = r"(?:…|\.\.\.|\[\.\.\.\]|\(\.\.\.\))[\"'»”’)\]]*$"
 #: The views in the order in which they decide: m masked, e as they are; the number of words. h is a masked pair with the page's own number.
-VIEWS = (("m", 6), ("m", 5), ("m", 4), ("m", 3), ("h", 2), ("e", 3), ("e", 2), ("m", 2), ("e", 1))
+VIEWS = (("m", 5), ("m", 3), ("h", 2), ("e", 3), ("e", 2), ("e", 1))
 #: Characters of a text's end that its last words are taken from.
 TAIL = 240
 #: The bitmap: 2**15 rows of 64 words of 64 bits.
@@ -47,55 +47,65 @@ _WORD = "cast(shiftrightunsigned(h, 43) & 63 as int)"
 _BIT = "cast(shiftrightunsigned(h, 37) & 63 as int)"
 
 
+def numbered(text: Column, number: Column) -> Column:
+    """A text on one line with dates and numbers as 0 and the page's own number as #."""
+    m = F.concat(F.lit(" "), F.regexp_replace(one_line(text), DATE, "0"), F.lit(" "))
+    for behind in (" ", "/"):
+        own = F.replace(m, F.concat(F.lit(" "), number, F.lit(behind)), F.lit(f" #{behind}"))
+        m = F.coalesce(own, m)  # no number: nothing to replace
+    # Patterns begin with a plain character: lookbehinds at every place of a text cost several times as much.
+    m = F.regexp_replace(m, r" [^ \d]*\d[^ ]*?(?=[.,;:!?)\]]* )", " 0")
+    return F.regexp_replace(m, r"0(?: 0)+(?![^ .,;:!?)\]])", "0")
+
+
 def plain(line: Column) -> Column:
-    """Words with their punctuation, in lower case, runs of digits as 0."""
-    return F.split(F.lower(F.regexp_replace(line, r"\d+", "0")), " ")
+    """Words of a numbered line with their punctuation, in lower case."""
+    return F.split(F.lower(F.trim(line)), " ")
 
 
-def masked(line: Column, number: Column) -> Column:
-    """Words with numbers, dates, the page's own number, capitalised words and ends of sentences masked."""
-    m = F.concat(F.lit(" "), F.regexp_replace(line, DATE, "0"), F.lit(" "))
-    for before, behind in ((" ", " "), ("[", "]"), (" ", "/"), (" ", ")"), ("(", " ")):
-        own = F.replace(m, F.concat(F.lit(before), number, F.lit(behind)), F.lit(f"{before}#{behind}"))
-        m = F.coalesce(own, m)  # no number: nothing to replace
-    # Each pattern begins with a plain character: lookbehinds at every place of a text cost several times as much.
-    m = F.regexp_replace(m, r" [^ \d]*\d[^ ]*?(?=[.,;:!?)\]]* )", " 0")
-    m = F.regexp_replace(m, r"0(?: 0)+(?![^ .,;:!?)\]])", "0")
-    m = F.regexp_replace(m, r" (?:[^ .!?]{4,}|[0#%€])[)»”\]]*[.!?]+[)»”\]]* ", " x. ")
+def masked(line: Column) -> Column:
+    """Words of a numbered line with ends of sentences and capitalised words masked."""
+    m = F.regexp_replace(line, r" (?:[^ .!?]{4,}|[0#%€])[)»”\]]*[.!?]+[)»”\]]* ", " x. ")
     m = F.regexp_replace(m, r"(?<!x\.) \p{Lu}[\p{L}'’-]*+(?!:)(?! :)", " N")
-    return F.split(F.lower(F.trim(F.regexp_replace(m, r"N(?: N)+(?!\p{L})", "N"))), " ")
+    return F.split(F.trim(F.regexp_replace(m, r"N(?: N)+(?!\p{L})", "N")), " ")
 
 
 def bare(c: Column) -> Column:
     """A word without the marks behind it; marks alone stay."""
-    return F.coalesce(F.nullif(F.rtrim(c, F.lit(",;:.!?")), F.lit("")), c)
+    marked = F.endswith(c, F.lit(","))
+    for mark in ";:.!?":
+        marked = marked | F.endswith(c, F.lit(mark))
+    return F.when(marked, F.coalesce(F.nullif(F.rtrim(c, F.lit(",;:.!?")), F.lit("")), c)).otherwise(c)
 
 
-def gram(view: str, n: int, words: Column, at: Column) -> Column:
-    """Hash of the n words up to place `at`, the last one bare."""
+def gram(view: str, n: int, words: Column, at: Column, last: Column) -> Column:
+    """Hash of the n words up to place `at`, of which the last one is given bare."""
     kind = "e" if view == "e" else "m"
-    return F.xxhash64(F.lit(f"{kind}{n}"), *[F.get(words, at - k) for k in range(n - 1, 0, -1)], bare(F.get(words, at)))
+    return F.xxhash64(F.lit(f"{kind}{n}"), *[F.get(words, at - k) for k in range(n - 1, 0, -1)], last)
 
 
 def _abbreviation(word: Column) -> Column:
-    return F.when(F.regexp_like(word, F.lit(r"^\p{L}{1,4}\.$")), F.xxhash64(F.lit("a"), word))
+    return F.when(F.endswith(word, F.lit(".")) & (F.length(word) <= 5), F.xxhash64(F.lit("a"), word))
 
 
-def grams_inside(w: Column, m: Column, i: Column, top: int, foot: int) -> Column:
-    """Hashes of all views that end at place i of a text (w plain, m masked) and that other words follow."""
-    out = [F.when((i >= n - 1) & (i < F.size(w) - 1), gram("e", n, w, i)) for v, n in VIEWS if v == "e"]
-    out += [F.when((i >= n - 1 + top) & (i < F.size(m) - 1 - foot), gram("m", n, m, i)) for v, n in VIEWS if v == "m"]
-    return F.array(*out, F.when(i < F.size(w) - 1, _abbreviation(F.get(w, i))))
+def grams_inside(lines: DataFrame, top: int, foot: int) -> DataFrame:
+    """(h) of all views at all places of lines (w plain, m masked) that other words follow."""
+    w, m, i = F.col("w"), F.col("m"), F.col("i")
+    places = lines.select("w", "m", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w"), F.size("m")) - 1)).alias("i"))
+    places = places.select("w", "m", "i", bare(F.get(w, i)).alias("last_w"), bare(F.get(m, i)).alias("last_m"))
+    out = [F.when((i >= n - 1) & (i < F.size(w) - 1), gram("e", n, w, i, F.col("last_w"))) for v, n in VIEWS if v == "e"]
+    out += [F.when((i >= n - 1 + top) & (i < F.size(m) - 1 - foot), gram("m", n, m, i, F.col("last_m"))) for v, n in VIEWS if v == "m"]
+    out += [F.when((i >= n - 1 + top) & (i < F.size(m) - 1 - foot) & F.contains("last_m", F.lit("#")), gram("m", n, m, i, F.col("last_m"))) for v, n in VIEWS if v == "h"]
+    return places.select(F.explode(F.array(*out, F.when(i < F.size(w) - 1, _abbreviation(F.get(w, i))))).alias("h")).filter("h is not null")
 
 
 def grams_at_end(w: Column, m: Column) -> dict[str, Column]:
     """The views of a text's last words by name; null where the text has fewer words."""
-    at = {"e": F.size(w) - 1, "m": F.size(m) - 1, "h": F.size(m) - 1}
     out = {}
     for v, n in VIEWS:
         words = w if v == "e" else m
-        full = at[v] >= n - 1
-        out[f"{v}{n}"] = F.when(full & F.contains(F.element_at(m, -1), F.lit("#")) if v == "h" else full, gram(v, n, words, at[v]))
+        full, last = F.size(words) >= n, F.element_at(words, -1)
+        out[f"{v}{n}"] = F.when(full & F.contains(last, F.lit("#")) if v == "h" else full, gram(v, n, words, F.size(words) - 1, bare(last)))
     return out | {"a": _abbreviation(F.element_at(w, -1))}
 
 
@@ -126,7 +136,8 @@ def ends_of(base: DataFrame) -> DataFrame:
     forms = F.when(bared.isNull(), F.array(F.struct(tail.alias("left"), F.lit(False).alias("bared")))).otherwise(F.array(F.struct(tail.alias("left"), F.lit(False).alias("bared")), F.struct(bared.alias("left"), F.lit(True).alias("bared"))))
     df = base.withColumn("form", F.explode(forms)).select(*base.columns, "form.*")
     last = lambda words: F.slice(words, F.greatest(F.size(words) - 7, F.lit(1)), 8)
-    return df.withColumns({"w": last(plain(F.col("left"))), "m": last(masked(F.col("left"), F.col("number"))), "whole_left": F.regexp_like("left", F.lit(STOP))}).drop("left", "tail")
+    df = df.withColumn("line", numbered(F.col("left"), F.col("number")))
+    return df.withColumns({"w": last(plain(F.col("line"))), "m": last(masked(F.col("line"))), "whole_left": F.regexp_like("left", F.lit(STOP))}).drop("left", "tail", "line")
 
 
 def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) -> DataFrame:
@@ -140,20 +151,22 @@ def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) ->
     own = records.filter(F.col("record_id").isNotNull() & F.col("text").isNotNull())
     number = F.col("page_number").cast("string") if follows else F.lit(None).cast("string")
     placed = [key_of("document_id").alias("document"), F.col("page_number").alias("page")] if follows else []
-    base = own.select("record_id", *placed, number.alias("number"), "text", one_line(F.right(F.rtrim(F.col("text"), F.lit(" \t\r\n\f\xa0")), F.lit(TAIL))).alias("tail"), F.length("text").alias("len")).filter("tail <> ''")
+    near = one_line(F.right(F.rtrim("text"), F.lit(TAIL)))
+    tail = F.when(near == "", F.right(one_line("text"), F.lit(TAIL))).otherwise(near)
+    base = own.select("record_id", *placed, number.alias("number"), "text", tail.alias("tail"), F.length("text").alias("len")).filter("tail <> ''")
     mark = F.right("tail", F.lit(12))
     stop, omitted = F.regexp_like(mark, F.lit(STOP)), F.regexp_like(mark, F.lit(OMISSION))
     short = stop & ~omitted & F.regexp_like(mark, F.lit(r" \p{L}{1,4}\.$"))
     open_ = base.drop("text").withColumns({"omitted": omitted, "short_stop": short, "stop": stop & ~omitted}).filter("omitted or short_stop or not stop")
     key = ["record_id", "len", "omitted", "short_stop", "bared", "closed", "masked_end"]
-    ends = ends_of(open_).withColumns({"closed": F.col("bared") & F.col("whole_left"), "masked_end": F.regexp_like(F.element_at("m", -1), F.lit(r"^(?:n|.*[0#].*)$"))})
+    ends = ends_of(open_).withColumns({"closed": F.col("bared") & F.col("whole_left"), "masked_end": F.regexp_like(F.element_at("m", -1), F.lit(r"^(?:N|.*[0#].*)$"))})
     first = F.lit(None).cast("string")
     if follows:
         # Where a sentence may go on: the next page's first word, if it is in lower case.
         nexts = base.select("document", (F.col("page") - 1).alias("page"), F.regexp_extract(F.left("text", F.lit(120)), r"^[\s\x{FEFF}\x{A0}]*([\p{Ll}(\d&»€%]\S*)", 1).alias("first")).filter("document is not null and page is not null").groupBy("document", "page").agg(F.min("first").alias("first"))
         apart = F.coalesce("document", F.concat(F.lit("\x00"), "record_id"))  # null keys do not meet in one task
         ends = ends.withColumn("document", apart).join(nexts, ["document", "page"], "left")
-        first = F.nullif(F.get(plain(F.col("first")), F.lit(0)), F.lit(""))
+        first = F.nullif(F.get(plain(numbered(F.col("first"), F.lit(None).cast("string"))), F.lit(0)), F.lit(""))
     views = grams_at_end(F.col("w"), F.col("m"))
     size = F.size("w")
     views["b3"] = F.when(first.isNotNull() & (size >= 2), F.xxhash64(F.lit("e3"), F.element_at("w", -2), F.element_at("w", -1), bare(first)))
@@ -163,9 +176,8 @@ def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) ->
     # Counts over the whole field, of those n-grams that are asked for.
     wanted = judged.select(*key, F.explode("each").alias("x")).select(*key, "x.*")
     asked = staged(wanted.select("h").distinct(), "asked")
-    texts = base.select("number", one_line("text").alias("line")).select(plain(F.col("line")).alias("w"), masked(F.col("line"), F.col("number")).alias("m"))
-    places = texts.select("w", "m", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w"), F.size("m")) - 1)).alias("i"))
-    every = places.select(F.explode(grams_inside(F.col("w"), F.col("m"), F.col("i"), *((TOP, FOOT) if follows else (0, 0)))).alias("h")).filter("h is not null")
+    lines = base.select(numbered(F.col("text"), F.col("number")).alias("line")).select(plain(F.col("line")).alias("w"), masked(F.col("line")).alias("m"))
+    every = grams_inside(lines, *((TOP, FOOT) if follows else (0, 0)))
     inside = asked_for(every, asked).groupBy("h").agg(F.count("*").alias("inside"))
     at_end = grams_at_end(F.col("w"), F.col("m"))
     final = ends_of(base.select(F.xxhash64("text").alias("of"), "tail", "number")).select("of", F.explode(F.array_distinct(F.array(*at_end.values()))).alias("h")).filter("h is not null")
