@@ -40,7 +40,7 @@ OMISSION = r"(?:…|\.\.\.|\[\.\.\.\]|\(\.\.\.\))[\"'»”’)\]]*$"
 #: The views in the order in which they decide: m masked, e as they are; the number of words. h is a masked pair with the page's own number.
 VIEWS = (("m", 5), ("m", 3), ("h", 2), ("e", 3), ("e", 2), ("e", 1))
 #: Characters of a text's end that its last words are taken from.
-TAIL = 240
+TAIL = 160
 #: The bitmap: 2**15 rows of 64 words of 64 bits.
 _SLOT = "shiftrightunsigned(h, 49)"
 _WORD = "cast(shiftrightunsigned(h, 43) & 63 as int)"
@@ -153,17 +153,19 @@ def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) ->
     placed = [key_of("document_id").alias("document"), F.col("page_number").alias("page")] if follows else []
     near = one_line(F.right(F.rtrim("text"), F.lit(TAIL)))
     tail = F.when(near == "", F.right(one_line("text"), F.lit(TAIL))).otherwise(near)
-    base = own.select("record_id", *placed, number.alias("number"), "text", tail.alias("tail"), F.length("text").alias("len")).filter("tail <> ''")
+    begins = F.regexp_extract(F.left("text", F.lit(120)), r"^[\s\x{FEFF}\x{A0}]*([\p{Ll}(\d&»€%]\S*)", 1)  # a first word in lower case
+    # Written once: what follows reads the texts' ends several times, and their insides once.
+    base = staged(own.select("record_id", *placed, number.alias("number"), tail.alias("tail"), begins.alias("begins"), F.length("text").alias("len"), F.xxhash64("text").alias("of")).filter("tail <> ''"), "tails")
     mark = F.right("tail", F.lit(12))
     stop, omitted = F.regexp_like(mark, F.lit(STOP)), F.regexp_like(mark, F.lit(OMISSION))
     short = stop & ~omitted & F.regexp_like(mark, F.lit(r" \p{L}{1,4}\.$"))
-    open_ = base.drop("text").withColumns({"omitted": omitted, "short_stop": short, "stop": stop & ~omitted}).filter("omitted or short_stop or not stop")
+    open_ = base.drop("begins", "of").withColumns({"omitted": omitted, "short_stop": short, "stop": stop & ~omitted}).filter("omitted or short_stop or not stop")
     key = ["record_id", "len", "omitted", "short_stop", "bared", "closed", "masked_end"]
     ends = ends_of(open_).withColumns({"closed": F.col("bared") & F.col("whole_left"), "masked_end": F.regexp_like(F.element_at("m", -1), F.lit(r"^(?:N|.*[0#].*)$"))})
     first = F.lit(None).cast("string")
     if follows:
         # Where a sentence may go on: the next page's first word, if it is in lower case.
-        nexts = base.select("document", (F.col("page") - 1).alias("page"), F.regexp_extract(F.left("text", F.lit(120)), r"^[\s\x{FEFF}\x{A0}]*([\p{Ll}(\d&»€%]\S*)", 1).alias("first")).filter("document is not null and page is not null").groupBy("document", "page").agg(F.min("first").alias("first"))
+        nexts = base.select("document", (F.col("page") - 1).alias("page"), F.col("begins").alias("first")).filter("document is not null and page is not null").groupBy("document", "page").agg(F.min("first").alias("first"))
         apart = F.coalesce("document", F.concat(F.lit("\x00"), "record_id"))  # null keys do not meet in one task
         ends = ends.withColumn("document", apart).join(nexts, ["document", "page"], "left")
         first = F.nullif(F.get(plain(numbered(F.col("first"), F.lit(None).cast("string"))), F.lit(0)), F.lit(""))
@@ -176,11 +178,11 @@ def cut_records(records: DataFrame, follows: bool = False, seen: int = SEEN) ->
     # Counts over the whole field, of those n-grams that are asked for.
     wanted = judged.select(*key, F.explode("each").alias("x")).select(*key, "x.*")
     asked = staged(wanted.select("h").distinct(), "asked")
-    lines = base.select(numbered(F.col("text"), F.col("number")).alias("line")).select(plain(F.col("line")).alias("w"), masked(F.col("line")).alias("m"))
+    lines = own.select(number.alias("number"), "text").select(numbered(F.col("text"), F.col("number")).alias("line")).select(plain(F.col("line")).alias("w"), masked(F.col("line")).alias("m"))
     every = grams_inside(lines, *((TOP, FOOT) if follows else (0, 0)))
     inside = asked_for(every, asked).groupBy("h").agg(F.count("*").alias("inside"))
     at_end = grams_at_end(F.col("w"), F.col("m"))
-    final = ends_of(base.select(F.xxhash64("text").alias("of"), "tail", "number")).select("of", F.explode(F.array_distinct(F.array(*at_end.values()))).alias("h")).filter("h is not null")
+    final = ends_of(base.select("of", "tail", "number")).select("of", F.explode(F.array_distinct(F.array(*at_end.values()))).alias("h")).filter("h is not null")
     ended = asked_for(final, asked).groupBy("h", "of").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("ends"), F.count("*").alias("texts"))
     counts = asked.join(inside, "h", "left").join(ended, "h", "left").select("h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inside", "ends", "texts")])
     found = wanted.join(staged(counts, "counts"), "h")
