@@ -24,23 +24,29 @@ def _any_phrase(normal: Column, phrases) -> Column:
     return out
 
 
-def doc_type(normal: Column, tokens: Column, rules: tuple[L.DocTypeRule, ...] = L.DOC_TYPE_RULES) -> Column:
-    """The best rule's name: 8 points for each phrase in the folded text, 1 for each keyword among the tokens.
+def keywords_in(tokens: Column, rules: tuple[L.DocTypeRule, ...] = L.DOC_TYPE_RULES) -> Column:
+    """The tokens that any rule asks for: the few that doc_type() then holds against each rule."""
+    return F.array_intersect(tokens, _strings(dict.fromkeys([*L.TAX_WORDS, *L.ENERGY_WORDS, *(w for r in rules for w in r.keywords)])))
+
+
+def doc_type(normal: Column, keywords: Column, rules: tuple[L.DocTypeRule, ...] = L.DOC_TYPE_RULES) -> Column:
+    """The best rule's name: 8 points for each phrase in the folded text, 1 for each of its keywords among `keywords`, see keywords_in().
 
     An invoice loses to a tax notice or an energy bill. Ties go to the earlier rule; below 2 points: null.
     """
-    taxed = _any_phrase(normal, L.TAX_PHRASES) | (F.size(F.array_intersect(tokens, _strings(L.TAX_WORDS))) >= 2)
-    energy = _any_phrase(normal, L.ENERGY_PHRASES) | (F.size(F.array_intersect(tokens, _strings(L.ENERGY_WORDS))) >= 2)
+    among = lambda words: F.size(F.array_intersect(keywords, _strings(words)))
+    taxed = _any_phrase(normal, L.TAX_PHRASES) | (among(L.TAX_WORDS) >= 2)
+    energy = _any_phrase(normal, L.ENERGY_PHRASES) | (among(L.ENERGY_WORDS) >= 2)
     scores = []
     for i, rule in enumerate(rules):
-        s = F.lit(0)
+        said = F.lit(0)
         for p in rule.phrases:
-            s = s + F.contains(normal, F.lit(p)).cast("int") * 8
-        s = s + F.size(F.array_intersect(tokens, _strings(rule.keywords)))
+            said = said + F.contains(normal, F.lit(p)).cast("int") * 8
+        s = said + among(rule.keywords)
         if rule.name == "Facture":
             s = s - taxed.cast("int") * 8 - energy.cast("int") * 14
         if rule.name == "Facture d'energie":
-            s = s + _any_phrase(normal, rule.phrases).cast("int") * 10
+            s = s + (said > 0).cast("int") * 10
         scores.append(F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(rule.name).alias("name")))
     best = F.array_max(F.array(*scores))
     return F.when(best["score"] >= 2, best["name"])
@@ -58,7 +64,7 @@ def text_date(c: str | Column) -> Column:
     A date in figures that does not exist ends the search without one; an unknown month name does not.
     """
     t = F.coalesce(col(c), F.lit(""))
-    fig, word, iso = r"\b([0-3]?\d)[/-]([01]?\d)[/-]((?:19|20)\d{2})\b", r"\b([0-3]?\d)\s+([a-zA-ZÀ-ÿ]+)\s+((?:19|20)\d{2})\b", r"\b((?:19|20)\d{2})-([01]\d)-([0-3]\d)\b"
+    fig, word, iso = r"(?U)\b([0-3]?\d)[/-]([01]?\d)[/-]((?:19|20)\d{2})\b", r"(?U)\b([0-3]?\d)\s+([a-zA-ZÀ-ÿ]+)\s+((?:19|20)\d{2})\b", r"(?U)\b((?:19|20)\d{2})-([01]\d)-([0-3]\d)\b"
     months = F.create_map(*[F.lit(x) for k, v in L.MONTHS.items() for x in (k, str(v))])
     month = F.element_at(months, F.lower(F.regexp_extract(t, word, 2)))
     return (
@@ -72,11 +78,11 @@ def persons(c: str | Column, most: int = 10) -> Column:
     """Up to ten names in the order of the five patterns, one for each spelling without title and case."""
     t = F.coalesce(col(c), F.lit(""))
     found = F.concat(
-        F.regexp_extract_all(t, F.lit(rf"\bClient\s+({NAME})\b"), 1),
-        F.regexp_extract_all(t, F.lit(rf"\b(?:Monsieur|Madame|Patient|Patiente)\s+({NAME})\b"), 1),
-        F.regexp_extract_all(t, F.lit(rf"\bRedacteur\s+({TITLES}\s+{NAME})\b"), 1),
-        F.regexp_extract_all(t, F.lit(rf"\b{TITLES}\s+{NAME}\b"), 0),
-        F.regexp_extract_all(t, F.lit(rf"\b{NAME}\b"), 0),
+        F.regexp_extract_all(t, F.lit(rf"(?U)\bClient\s+({NAME})\b"), 1),
+        F.regexp_extract_all(t, F.lit(rf"(?U)\b(?:Monsieur|Madame|Patient|Patiente)\s+({NAME})\b"), 1),
+        F.regexp_extract_all(t, F.lit(rf"(?U)\bRedacteur\s+({TITLES}\s+{NAME})\b"), 1),
+        F.regexp_extract_all(t, F.lit(rf"(?U)\b{TITLES}\s+{NAME}\b"), 0),
+        F.regexp_extract_all(t, F.lit(rf"(?U)\b{NAME}\b"), 0),
     )
     tidy = F.transform(found, lambda x: F.regexp_replace(one_line(F.replace(x, F.lit(" - "), F.lit(" "))), r"^[ .,:;-]+|[ .,:;-]+$", ""))
     kept = F.filter(tidy, lambda x: ~not_a_person(x))
@@ -124,7 +130,7 @@ def summary(kind: Column, people: Column, day: Column, labels: Column, text: Col
         F.when(F.size(people) > 0, F.concat(F.lit(", concernant "), F.array_join(F.slice(people, 1, 3), ", "))).otherwise(""), F.lit("."),
     )
     themes = F.when(F.size(labels) > 0, F.concat(F.lit("Themes detectes: "), F.array_join(F.slice(labels, 1, 5), ", "), F.lit(".")))
-    sentences = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) > 35), 1, 2)
+    sentences = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+"), strip), lambda s: F.length(s) > 35), 1, 2)
     return F.substring(F.concat_ws(" ", intro, themes, F.array_join(sentences, " ")), 1, 900)
 
 

@@ -57,6 +57,11 @@ class Filters:
         return out
 
 
+def readable(documents: DataFrame, rights: Rights) -> DataFrame:
+    """The documents that a user may read."""
+    return documents.filter(rights.visible())
+
+
 def visible_counts(users: DataFrame, documents: DataFrame) -> DataFrame:
     """(user_id, visible): documents each user may see, without pairing users with documents.
 

@@ -2,44 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon import lexicons as L
 from quillon.functions import facts
 from quillon.functions import text as T
-from quillon.runtime import checked_broadcast, latest_by_id
+from quillon.runtime import BROADCAST_ROWS, checked_broadcast, latest_by_id, staged
+from quillon.sources import providers
 
 
-def document_text(pages: DataFrame) -> DataFrame:
-    """(document_id, text): one page as it is, several marked with their numbers. Blank and null texts count as empty.
+def document_text(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(document_id, text), of all documents or of those given (see access.readable): one page as it is, several marked with their numbers. Blank and null texts count as empty.
 
     Rows repeated under one page id count once. Pages of one document meet in one row, as in the documents table.
     """
-    once = pages.groupBy("id").agg(F.first("document_id").alias("document_id"), F.first("page_number").alias("n"), F.first("ordinal").alias("o"), F.first("text").alias("t"))
+    if documents is not None:
+        pages = pages.join(documents.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi")
+    row = F.struct("document_id", F.col("page_number").alias("n"), F.col("ordinal").alias("o"), F.col("text").alias("t"))
+    once = pages.groupBy("id").agg(F.min_by(row, F.struct("ordinal", "page_number", "text")).alias("r")).select("r.*")
     parts = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", F.coalesce("t", F.lit("")).alias("t"))))
     marked = F.transform(F.col("p"), lambda x: F.concat(F.lit("--- Page "), x["n"].cast("string"), F.lit(" ---\n"), x["t"]))
     return once.groupBy("document_id").agg(parts.alias("p")).select("document_id", F.when(F.size("p") == 1, F.col("p")[0]["t"]).otherwise(F.array_join(marked, "\n\n")).alias("text"))
 
 
+def named_in(docs: DataFrame, names: DataFrame, block: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, fiscal, matter_id) of docs (id, fiscal, low_text) that hold a matter's name (matter_id, name) anywhere.
+
+    All names of a block are looked for in one pass over a text (Aho-Corasick); more than a block of
+    names take as many passes as there are blocks, so what is sent to the tasks is bounded.
+    """
+    names = names.filter("name <> ''")
+    blocks = -(-names.count() // block) or 1
+    kind = docs.schema["id"].dataType.simpleString()
+    out = None
+    for i in range(blocks):
+        rows = names.filter(F.pmod(F.xxhash64("matter_id"), F.lit(blocks)) == i).select("matter_id", "name").collect()  # about `block` rows
+        sent = docs.sparkSession.sparkContext.broadcast([(r["matter_id"], r["name"]) for r in rows])
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            ids: dict[str, list[str]] = {}
+            for m, n in sent.value:
+                ids.setdefault(n, []).append(m)
+            tree = ahocorasick.Automaton()
+            for n, m in ids.items():
+                tree.add_word(n, m)
+            tree.make_automaton()
+            for b in batches:
+                found = [(d, f, m) for d, f, t in zip(b["id"], b["fiscal"], b["low_text"]) if ids for m in dict.fromkeys(m for _, group in tree.iter(t) for m in group)]
+                yield pd.DataFrame(found, columns=["id", "fiscal", "matter_id"])
+
+        one = docs.select("id", "fiscal", "low_text").mapInPandas(run, f"id {kind}, fiscal boolean, matter_id string")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def classify_matter(docs: DataFrame, matters: DataFrame) -> DataFrame:
     """(id, matter_id, matter_score) of documents (id, low_text, words, labels) that reach the threshold.
 
     The share of a matter's words (with hints) that the document has, and 0.35 if it names the matter.
-    Documents and matters meet through an inverted index of words, not pair by pair: a matter that shares
-    no word with a document scores 0 there. Ties go to the matter stored first (created_at), then to the greater id.
+    Documents and matters meet through an inverted index of words and through whole names, not pair by
+    pair. Ties go to the matter stored first (created_at), then to the greater id.
     """
     first = matters.groupBy("id").agg(F.min_by(F.struct("name", "responsible", "created_at"), F.struct("created_at", "name", "responsible")).alias("m")).select(F.col("id").alias("matter_id"), "m.*")
     own = T.tokens(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("responsible", F.lit(""))))
     hints = F.create_map(*[x for k, v in L.MATTER_HINTS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
     wide = first.withColumn("_own", F.array_distinct(own)).withColumn("_all", F.array_distinct(F.concat("_own", F.flatten(F.transform("_own", lambda w: F.coalesce(F.element_at(hints, w), F.array().cast("array<string>")))))))
-    index = wide.select("matter_id", "created_at", F.lower(F.coalesce("name", F.lit(""))).alias("_name"), F.size("_all").alias("_size"), F.explode("_all").alias("_word"))
-    said = docs.select("id", F.explode(F.array_distinct(F.concat("words", "labels"))).alias("_word"))
-    hits = said.join(checked_broadcast(index), "_word").groupBy("id", "matter_id").agg(F.count("*").alias("_hits"), F.first("_size").alias("_size"), F.first("_name").alias("_name"), F.first("created_at").alias("created_at"))
-    full = hits.join(docs.select("id", "low_text", F.when(F.array_contains("labels", "fiscal"), 0.22).otherwise(0.14).alias("_least")), "id")
-    score = F.col("_hits") / F.greatest("_size", F.lit(1)) + F.when((F.col("_name") != "") & F.contains("low_text", F.col("_name")), 0.35).otherwise(0.0)
-    best = F.max_by(F.struct("matter_id", F.col("s").alias("matter_score"), "_least"), F.struct("s", (-F.unix_micros("created_at")).alias("c"), "matter_id"))
-    return full.withColumn("s", score).groupBy("id").agg(best.alias("b")).select("id", "b.*").filter("matter_score >= _least").drop("_least")
+    index = wide.select("matter_id", F.explode("_all").alias("_word"))
+    about = docs.withColumn("fiscal", F.array_contains("labels", "fiscal"))
+    said = about.select("id", "fiscal", F.explode(F.array_distinct(F.concat("words", "labels"))).alias("_word"))
+    hits = said.join(checked_broadcast(index), "_word").select("id", "fiscal", "matter_id", F.lit(1).alias("hit"), F.lit(0).alias("named"))
+    names = wide.select("matter_id", F.lower(F.coalesce("name", F.lit(""))).alias("name"))
+    named = named_in(about, names).select("id", "fiscal", "matter_id", F.lit(0).alias("hit"), F.lit(1).alias("named"))
+    both = hits.unionByName(named).groupBy("id", "matter_id").agg(F.sum("hit").alias("hits"), F.max("named").alias("named"), F.first("fiscal").alias("fiscal"))
+    sizes = wide.select("matter_id", "created_at", F.size("_all").alias("size"))
+    full = both.join(checked_broadcast(sizes), "matter_id").withColumn("s", F.col("hits") / F.greatest("size", F.lit(1)) + F.when(F.col("named") == 1, 0.35).otherwise(0.0))
+    best = F.max_by(F.struct("matter_id", F.col("s").alias("matter_score"), "fiscal"), F.struct("s", (-F.unix_micros("created_at")).alias("c"), "matter_id"))
+    return full.groupBy("id").agg(best.alias("b")).select("id", "b.*").filter("matter_score >= case when fiscal then 0.22 else 0.14 end").drop("fiscal")
 
 
 def analyse(documents: DataFrame, matters: DataFrame | None = None, rules: tuple[L.DocTypeRule, ...] = L.DOC_TYPE_RULES) -> DataFrame:
@@ -49,9 +93,11 @@ def analyse(documents: DataFrame, matters: DataFrame | None = None, rules: tuple
     """
     t = F.coalesce("text", F.lit(""))
     base = documents.withColumns({"_text": t, "_normal": T.normalise(t)}).withColumn("_words", F.array_distinct(T.tokens("_text")))
-    base = base.withColumn("_kind", F.coalesce(facts.doc_type(F.col("_normal"), F.col("_words"), rules), F.nullif(F.col("type"), F.lit("")), F.lit("")))
+    base = base.withColumn("_keys", facts.keywords_in(F.col("_words"), rules))
+    base = base.withColumn("_kind", F.coalesce(facts.doc_type(F.col("_normal"), F.col("_keys"), rules), F.nullif(F.col("type"), F.lit("")), F.lit("Document")))
     base = base.withColumns({"_day": F.coalesce(facts.text_date("_text"), F.col("document_date")), "_people": facts.persons("_text"), "_tags": facts.tags(F.col("_words"), F.col("_kind"))})
     if matters is not None:
+        base = staged(base, "analysed")  # read twice: for the matters' words and for the rest
         chosen = classify_matter(base.select("id", F.lower("_text").alias("low_text"), F.col("_words").alias("words"), F.col("_tags").alias("labels")), matters)
         base = base.join(chosen.withColumnRenamed("matter_id", "_matter").withColumnRenamed("matter_score", "_score"), "id", "left")
     else:
@@ -62,7 +108,7 @@ def analyse(documents: DataFrame, matters: DataFrame | None = None, rules: tuple
         facts.title(F.col("_kind"), F.col("_people"), F.col("_day"), F.col("_text"), F.col("filename")).alias("title"),
         F.col("_kind").alias("doc_type"), F.col("_day").alias("doc_date"), F.col("_people").alias("persons"),
         facts.summary(F.col("_kind"), F.col("_people"), F.col("_day"), F.col("_tags"), F.col("_text")).alias("summary"),
-        F.col("_tags").alias("tags"), matter.alias("matter_id"), F.lit("rules").alias("method"), facts.confidence(F.size("_words"), score).alias("confidence"),
+        F.col("_tags").alias("tags"), matter.alias("matter_id"), F.lit("local-rules").alias("method"), facts.confidence(F.size("_words"), score).alias("confidence"),
     )
     return base.withColumn("analysis", analysis).select(*documents.columns, "analysis")
 
@@ -77,17 +123,39 @@ def merge_analysis(llm: Column, rules: Column) -> Column:
     ))
 
 
-def payload(c: str | Column) -> Column:
+def payload(c: str | Column, method: str = "llm") -> Column:
     """A model's JSON answer, checked: lengths cut, lists made distinct, dates by form only."""
     p = F.from_json(T.col(c), "title string, doc_type string, doc_date string, persons array<string>, summary string, tags array<string>, matter_id string")
     names = lambda f, n: F.slice(F.transform(F.array_distinct(F.filter(F.transform(F.coalesce(p[f], F.array().cast("array<string>")), T.strip), lambda x: x != "")), lambda x: F.substring(x, 1, 120)), 1, n)
     cut = lambda f, n: F.substring(T.strip(F.coalesce(p[f], F.lit(""))), 1, n)
-    return F.when(p.isNotNull(), F.struct(
-        cut("title", 140).alias("title"), cut("doc_type", 80).alias("doc_type"), F.when(F.regexp_like(p["doc_date"], F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.to_date(F.try_to_timestamp(p["doc_date"], F.lit("yyyy-MM-dd")))).alias("doc_date"),
-        names("persons", 12).alias("persons"), cut("summary", 900).alias("summary"), names("tags", 8).alias("tags"), F.nullif(p["matter_id"], F.lit("")).alias("matter_id"), F.lit("llm").alias("method"), F.lit(0.9).alias("confidence"),
+    answered = F.startswith(F.get_json_object(T.col(c), "$"), F.lit("{"))  # anything else is no answer
+    return F.when(answered, F.struct(
+        cut("title", 140).alias("title"), cut("doc_type", 80).alias("doc_type"), F.when(F.regexp_like(p["doc_date"], F.lit(r"^(?:19|20)\d{2}-[01]\d-[0-3]\d$")), F.to_date(F.try_to_timestamp(p["doc_date"], F.lit("yyyy-MM-dd")))).alias("doc_date"),
+        names("persons", 12).alias("persons"), cut("summary", 900).alias("summary"), names("tags", 8).alias("tags"), F.nullif(p["matter_id"], F.lit("")).alias("matter_id"), F.lit(method).alias("method"), F.lit(0.9).alias("confidence"),
     ))
 
 
+def analyse_with_model(documents: DataFrame, matters: DataFrame, model: str = "off", rules: tuple[L.DocTypeRule, ...] = L.DOC_TYPE_RULES, listed: int = 200) -> DataFrame:
+    """analyse(), with a registered model's fields where it gives any: see providers.MODELS.
+
+    The prompt lists the matters there are, at most `listed` of them, the oldest first; where there are more, only
+    those are offered to the model, and a matter that it names and that does not exist is dropped. An
+    answer that is no JSON leaves the rules' analysis; blank texts are not sent.
+    """
+    done = analyse(documents, matters, rules)
+    if model not in providers.MODELS:
+        return done
+    known = matters.groupBy("id").agg(F.min_by(F.struct("name", "responsible"), "created_at").alias("m"), F.min("created_at").alias("at"))
+    offered = [(r["id"], r["name"] or "", r["responsible"] or "") for r in known.orderBy("at", "id").limit(listed).select("id", "m.*").collect()]
+    kept = F.when(F.coalesce("matter_locked", F.lit(False)), F.col("matter_id"))
+    asked = staged(done.withColumn("_said", providers.ask(providers.prompt(F.col("text"), offered, kept), F.col("text"), model)), "answers")  # a model is asked once
+    told = asked.withColumn("_llm", payload("_said", model)).drop("_said")
+    named = told.select(F.col("_llm.matter_id").alias("_known")).filter("_known is not null").distinct().join(known.select(F.col("id").alias("_known")), "_known", "left_semi").withColumn("_is", F.lit(True))
+    told = told.withColumn("_known", F.coalesce("_llm.matter_id", F.concat(F.lit("\x00"), F.col("id").cast("string")))).join(checked_broadcast(named), "_known", "left")
+    llm = F.when(F.col("_llm").isNotNull(), F.col("_llm").withField("matter_id", F.when(F.coalesce("matter_locked", F.lit(False)), F.col("matter_id")).when(F.col("_is"), F.col("_llm.matter_id"))))
+    return told.withColumn("analysis", merge_analysis(llm, F.col("analysis"))).select(*documents.columns, "analysis")
+
+
 def apply_analysis(documents: DataFrame) -> DataFrame:
     """documents with the struct `analysis` written into their columns; the matter is overwritten even by null unless locked."""
     a = F.col("analysis")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.runtime import shared_dir
 
 
 def replace_pages(pages: DataFrame, new: DataFrame, document_ids: DataFrame) -> DataFrame:
@@ -22,7 +21,7 @@ def page_records(extracted: DataFrame) -> DataFrame:
     return extracted.select(F.col("id").alias("document_id"), "created_at", F.explode("pages").alias("p")).select(
         T.stable_id("page", "document_id", p["page_number"]).alias("id"), "document_id", p["page_number"].alias("page_number"), p["text"].alias("text"),
         F.coalesce(F.nullif(p["raw_text"], F.lit("")), p["text"]).alias("raw_text"), p["confidence"].alias("confidence"), p["quality"].alias("quality"),
-        F.lit(None).cast("array<double>").alias("embedding"), "created_at",
+        F.lit(None).cast("array<double>").alias("embedding"), "created_at", p["page_number"].cast("bigint").alias("ordinal"),
     )
 
 
@@ -41,11 +40,12 @@ def grant(users: DataFrame, user_id: str, column: str, new_ids: DataFrame) -> Da
     return users.crossJoin(F.broadcast(ids)).withColumn(column, F.when(F.col("id") == user_id, F.array_union(had, "_new")).otherwise(F.col(column))).drop("_new")
 
 
-def audit(rows: DataFrame, actor: str, action: str, entity: str) -> DataFrame:
+def audit(rows: DataFrame, actor: str, action: str, entity: str, details: Column | None = None) -> DataFrame:
     """One audit row per created or changed row (id, created_at)."""
+    said = details if details is not None else F.lit(None)
     return rows.select(
         T.stable_id("audit", F.lit(action), "id", "created_at").alias("id"), F.lit(actor).alias("actor_id"), F.lit(action).alias("action"), F.lit(entity).alias("entity"),
-        F.col("id").alias("entity_id"), F.lit(None).cast("map<string,string>").alias("details"), "created_at",
+        F.col("id").alias("entity_id"), said.cast("map<string,string>").alias("details"), "created_at",
     )
 
 
@@ -63,19 +63,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def save(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap: a reader finds the old table or the new one, a failure leaves the old."""
-    spark: SparkSession = df.sparkSession
-    beside = f"{path}.new-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(beside)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, f"{beside}-old"))
-    fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
+def save(df: DataFrame, path: str) -> str:
+    """Write a new version of a table beside the old ones, then name it as the current one; returns the version's folder.
+
+    The name stands in one small file that is replaced as a whole, so a reader finds the old version or
+    the new one, on file systems without rename as well; a failure before that leaves the old one current.
+    """
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(f"{path}/{version}")
+    stream, _ = _pointer(df.sparkSession, path, write=True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    return f"{path}/{version}"
+
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table written by save()."""
+    stream, size = _pointer(spark, path, write=False)
+    version = bytes(stream.readNBytes(size)).decode()
+    stream.close()
+    return spark.read.parquet(f"{path}/{version}")
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+def _pointer(spark: SparkSession, path: str, write: bool):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = name.getFileSystem(conf)
+    return (fs.create(name, True), 0) if write else (fs.open(name), int(fs.getFileStatus(name).getLen()))

@@ -100,11 +100,6 @@ def semantic_text_score(spark, root):
     return load(spark, root, "pages").select("id", F.round(T.semantic_score("text"), 4).alias("score")).distinct()
 
 
-@query()
-def normalised_text(spark, root):
-    return load(spark, root, "documents").select("doc_id", T.normalise("text").alias("normal"))
-
-
 # --- search -----------------------------------------------------------------------------------------
 
 Q = T.tokenize(TEXT_QUERY)
@@ -203,11 +198,6 @@ def extract_dates(spark, root):
     return load(spark, root, "documents").select("doc_id", facts.text_date("text").alias("text_date"))
 
 
-@query()
-def extract_persons(spark, root):
-    return load(spark, root, "documents").select("doc_id", facts.persons("text").alias("persons"))
-
-
 @query(
     f"""with t as (select doc_id, list_distinct({sql_tokens('text')}) w from documents)
     select doc_id, array_to_string(list_filter([{', '.join(f"case when list_has_any(w, {sql_list(v)}) then '{k}' end" for k, v in L.TAG_KEYWORDS.items())}], lambda x: x is not null)[1:6], ',') tags from t"""
@@ -217,19 +207,6 @@ def tags(spark, root):
     return load(spark, root, "documents").select("doc_id", w.alias("w")).select("doc_id", F.array_join(facts.tags(F.col("w"), F.lit("")), ",").alias("tags"))
 
 
-@query()
-def analyse_documents(spark, root):
-    """The whole analysis: type, date, persons, tags, matter, title, summary and confidence of every document."""
-    docs = load(spark, root, "documents").drop("title", "summary", "persons", "tags")
-    return analysis.analyse(docs, load(spark, root, "matters")).select("id", "analysis.*")
-
-
-@query()
-def doc_types(spark, root):
-    d = load(spark, root, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", F.array_distinct(T.tokens("t"))).withColumn("n", T.normalise("t"))
-    return d.select("doc_id", facts.doc_type(F.col("n"), F.col("w")).alias("found_type"))
-
-
 def sql_matter_words() -> str:
     hints = "map {" + ", ".join(f"'{k}': {sql_list(v)}" for k, v in L.MATTER_HINTS.items()) + "}"
     return f"list_distinct(list_concat({sql_tokens("concat_ws(' ', coalesce(name, ''), coalesce(responsible, ''))")}, flatten(list_transform({sql_tokens("concat_ws(' ', coalesce(name, ''), coalesce(responsible, ''))")}, lambda t: coalesce(map_extract({hints}, t)[1], [])))))"
@@ -332,13 +309,6 @@ def safe_names(spark, root):
     return load(spark, root, "documents").select("id", T.safe_filename("filename").alias("safe_name"))
 
 
-@query()
-def page_split(spark, root):
-    """Documents' texts as form-fed pages: marks between pages become form feeds, pages are cleaned, scored and numbered."""
-    fed = F.regexp_replace(F.coalesce("text", F.lit("")), r"--- Page \d+ ---\n", "\f")
-    return load(spark, root, "documents").select("id", F.explode(files.split_pages(fed)).alias("p")).select("id", "p.page_number", "p.text", "p.confidence", "p.quality")
-
-
 @query(
     """with gone as (select id from documents where status = 'low_quality')
     select document_id, page_number, text from (select distinct id, document_id, page_number, text from pages where document_id not in (select id from gone)) union all select id, 1, text from documents where id in (select id from gone)"""
@@ -367,11 +337,6 @@ def levenshtein_terms(spark, root):
     return w.select("token", F.explode(F.filter(near, lambda x: x["distance"] >= 0)).alias("x")).select("token", "x.term", F.col("x.distance").cast("bigint").alias("distance"))
 
 
-@query()
-def ocr_corrected(spark, root):
-    return load(spark, root, "pages").select("id", ocr.postprocess(F.coalesce("raw_text", "text", F.lit(""))).alias("text")).distinct()
-
-
 # --- references ------------------------------------------------------------------------------------------
 
 REFERENCE_TABLES = ("pages", "documents", "tasks", "matters", "clients", "audit_logs")
@@ -424,8 +389,10 @@ def p4_report(spark, root):
 
 
 def queries() -> dict[str, Query]:
+    from quillon.plans import documents  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for k, v in SQL.items() if k in queries()}

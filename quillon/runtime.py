@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -52,12 +53,14 @@ def load(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder of spark.checkpoint.dir. Only a session on one machine gets a local one where none is set."""
     set_already = spark.conf.get("spark.checkpoint.dir", None)
     if not set_already:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_already = context.get() if context.isDefined() else None
     if not set_already:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_already = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(set_already)
         spark.conf.set("spark.checkpoint.dir", set_already)

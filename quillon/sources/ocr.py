@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import functools
-import os
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,20 +13,10 @@ from pyspark.sql.types import StringType
 from quillon import lexicons as L
 from quillon.functions import text as T
 
-#: Engines by name: each maps an image's bytes and a mode to (text, confidence) words. None is built in.
-ENGINES: dict[str, Callable] = {}
 MODES = ("11", "6", "4", "3")
 ANGLES = (-4, -2, 2, 4)
 
 
-def selected_engine(env: dict[str, str] = os.environ) -> str:
-    """The engine the environment asks for, or off."""
-    wanted = env.get("DOCUMENT_OCR_ENGINE", "auto").lower()
-    if wanted == "auto":
-        return next(iter(ENGINES), "off")
-    return wanted if wanted in ENGINES else "off"
-
-
 def words_to_text(words: DataFrame) -> DataFrame:
     """(image_id, engine, psm, angle, raw_text, words, mean_conf): words in input order, lines in page order.
 
@@ -119,9 +107,10 @@ _PHRASES = tuple((max(re.findall(r"[a-z]{3,}(?![?*a-z])|\d{3,}", p.replace("\\b"
 
 def phrases(text: str) -> str:
     """The phrase rules in order."""
+    low = text.lower()
     for needed, pattern, by in _PHRASES:
-        if needed in text.lower():
-            text = pattern.sub(by, text)
+        if needed in low and (new := pattern.sub(by, text)) != text:
+            text, low = new, new.lower()
     return text
 
 
@@ -142,45 +131,3 @@ def _correct(texts: pd.Series) -> pd.Series:
 def postprocess(c: Column) -> Column:
     """Clean, apply the phrase rules, set blanks around punctuation, correct words, apply the phrase rules again."""
     return _correct(T.clean(c))
-
-
-def flatten_result(result: object) -> list[tuple[str, float]]:
-    """(text, confidence) pairs of an engine's nested result: dicts with texts and scores, pairs, lists of them."""
-    out: list[tuple[str, float]] = []
-
-    def number(x: object) -> float:
-        try:
-            return float(x)  # type: ignore[arg-type]
-        except (TypeError, ValueError):
-            return 0.0
-
-    def visit(x: object) -> None:
-        if x is None or isinstance(x, (str, bytes, int, float)):
-            return
-        if isinstance(x, dict):
-            texts = x.get("rec_texts") or x.get("txts") or x.get("texts")
-            marks = x.get("rec_scores") or x.get("scores") or []
-            if texts is not None:
-                out.extend((str(t), number(marks[i]) if i < len(marks) else 0.0) for i, t in enumerate(texts) if str(t).strip())
-            else:
-                for v in x.values():
-                    visit(v)
-            return
-        if hasattr(x, "txts"):
-            visit({"txts": list(x.txts or []), "scores": list(getattr(x, "scores", None) or [])})
-            return
-        for name in ("json", "res"):
-            if hasattr(x, name):
-                visit(getattr(x, name))
-                return
-        if isinstance(x, (list, tuple)):
-            if len(x) == 2 and isinstance(x[0], str) and isinstance(x[1], (int, float)):
-                out.append((x[0], number(x[1])))
-            elif len(x) == 3 and isinstance(x[1], str):
-                out.append((x[1], number(x[2])))
-            else:
-                for v in x:
-                    visit(v)
-
-    visit(result)
-    return out

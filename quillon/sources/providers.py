@@ -43,10 +43,31 @@ def embed(df: DataFrame, text: str, provider: str = "off", to: str = "embedding"
     return df.withColumn(to, run(F.col(text)))
 
 
-def prompt(text: Column, matters: list[tuple[str, str, str]]) -> Column:
-    """The request to a language model: the fields wanted, the matters there are, and the clipped text."""
+def prompt(text: Column, matters: list[tuple[str, str, str]], kept: Column | None = None) -> Column:
+    """The request to a language model: the fields wanted, the matters there are, the one that is set already, and the clipped text."""
     from quillon.functions.text import clip
 
     listed = "\n".join(f"- {i}: {n} ({r})" for i, n, r in matters) or "-"
-    head = "Return one JSON object with title, doc_type, doc_date (YYYY-MM-DD or empty), persons, summary, tags and matter_id (one of the matters below, or null).\nMatters:\n"
-    return F.concat(F.lit(head + listed + "\nText:\n"), clip(text))
+    head = "Return one JSON object with title, doc_type, doc_date (YYYY-MM-DD or empty), persons, summary (three sentences at most), tags and matter_id (one of the matters below, or null). Name no person, date or matter that the text does not hold; it may have been misread.\nMatters:\n"
+    set_ = F.coalesce(F.concat(F.lit("\nThe matter is "), kept), F.lit("")) if kept is not None else F.lit("")
+    return F.concat(F.lit(head + listed), set_, F.lit("\nText:\n"), clip(text))
+
+
+def ask(prompts: Column, text: Column, model: str) -> Column:
+    """A registered model's answers; null for blank texts and where the model fails. Answers come in Arrow batches, a model per Python worker."""
+    factory = MODELS[model]
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        answer = factory()
+        for texts in batches:
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            usable = texts.notna()
+            if usable.any():
+                try:
+                    out[usable] = pd.Series(list(answer(list(texts[usable]))), index=texts.index[usable], dtype=object)
+                except Exception:  # a model's failure leaves the rules' analysis
+                    pass
+            yield out
+
+    return run(F.when(F.trim(text) != "", prompts))

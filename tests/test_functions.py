@@ -103,11 +103,6 @@ def test_bounded_distance():
     assert ocr.bounded_distance("aaaaaa", "bbbbbbb") == 3
 
 
-def test_flatten_ocr_result():
-    assert ocr.flatten_result({"rec_texts": ["a", " "], "rec_scores": [0.5]}) == [("a", 0.5)]
-    assert ocr.flatten_result([[[0, 0], "mot", "0.9"], ("x", 1)]) == [("mot", 0.9), ("x", 1.0)]
-
-
 def test_safe_filename_and_excerpt(spark):
     assert value(spark, T.safe_filename("t"), t="../a/b é?.pdf") == "b _.pdf"
     assert value(spark, T.safe_filename("t"), t=None) == "document"

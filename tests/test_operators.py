@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import access, analysis, dashboard, orphans, search, store
-from quillon.sources import files, ocr
+from quillon.operators import access, analysis, dashboard, intake, orphans, search, store
+from quillon.runtime import staged
+from quillon.sources import engines, files, ocr, providers
 
 T0 = dt.datetime(2020, 1, 1)
 DOC = "id string, client_id string, matter_id string, title string, type string, doc_type string, summary string, persons array<string>, tags array<string>, filename string, status string, document_date date, responsible string, extra string"
@@ -107,11 +108,13 @@ def test_store_transforms(spark):
     assert got == {"u": ["a", "b"], "v": None}
 
 
-def test_save_replaces_the_whole_table(spark, tmp_path):
+def test_save_names_a_new_version(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    store.save(spark.range(3), path)
-    store.save(spark.read.parquet(path).filter("id > 0"), path)
-    assert spark.read.parquet(path).count() == 2
+    first = store.save(spark.range(3), path)
+    before = store.current(spark, path)
+    store.save(before.filter("id > 0"), path)
+    assert store.current(spark, path).count() == 2
+    assert spark.read.parquet(first).count() == 3  # readers of the old version are not disturbed
 
 
 def test_apply_analysis_and_matter(spark):
@@ -186,3 +189,123 @@ def test_orphans_of_empty_tables(spark):
 def test_hot_key_is_whole(spark):
     t = orphan_tables(spark, documents=[(f"d{i}", None, "lost", T0, None) for i in range(500)])
     assert orphans.unsound_references(t).filter(F.col("reason") == "missing").count() == 500
+
+
+# --- intake, reprocessing, the whole corpus -------------------------------------------------------------
+
+UPLOAD = "filename string, content binary, mime_type string, client_id string, matter_id string, type string, responsible string, document_date date, created_at timestamp"
+MATTERS = "id string, client_id string, name string, responsible string, created_at timestamp"
+
+
+def test_names_without_own_words_are_found(spark):
+    """A matter whose name stands inside a word only, and one that has no word of its own."""
+    docs = spark.createDataFrame([(1, "les parcs du canton", ["parcs", "canton"], [])], "id int, low_text string, words array<string>, labels array<string>")
+    matters = spark.createDataFrame([("m1", "c", "Par", None, T0), ("m2", "c", "Zzz", None, T0), ("m3", "c", None, None, T0)], MATTERS)
+    assert [(r["matter_id"], r["matter_score"]) for r in analysis.classify_matter(docs, matters).collect()] == [("m1", 0.35)]
+    names = spark.createDataFrame([(f"m{i}", "parc") for i in range(5)], "matter_id string, name string")
+    found = analysis.named_in(docs.selectExpr("id", "low_text", "false fiscal"), names, block=2)
+    assert sorted(r["matter_id"] for r in found.collect()) == [f"m{i}" for i in range(5)]
+
+
+def test_intake(spark):
+    text = "Facture n 12 du 8 février 2019, total ttc 120 euros. Client Jean DUPONT. Le litige Morsure de chien avance bien."
+    rows = [("a b.txt", text.encode(), "text/plain", None, None, "Auto", None, None, T0), ("x.png", b"1", "image/png", None, "m1", "Note", "R", None, T0), ("y.zip", None, None, "c9", None, None, None, None, T0), ("z.txt", b" ", "", None, None, "Auto", None, None, T0)]
+    matters = spark.createDataFrame([("m1", "c1", "Morsure de chien", None, T0)], MATTERS)
+    new = intake.intake(spark.createDataFrame(rows, UPLOAD), matters, "u")
+    docs = {r["filename"]: r for r in new["documents"].collect()}
+    a, x = docs["a b.txt"], docs["x.png"]
+    assert (a["status"], a["matter_id"], a["client_id"], a["doc_type"], str(a["document_date"]), a["persons"], a["matter_locked"]) == ("indexed", "m1", "c1", "Facture", "2019-02-08", ["Jean DUPONT"], False)
+    assert (x["status"], x["matter_id"], x["matter_locked"], x["type"], x["title"], x["analysis_method"]) == ("ocr_pending", "m1", True, "Note", "x.png", "")
+    assert docs["y.zip"]["status"] == "error" and docs["z.txt"]["status"] == "low_quality"
+    assert {(r["level"], r["message"].split(":")[0]) for r in new["alerts"].collect()} == {("warning", "x.png"), ("error", "y.zip"), ("warning", "z.txt")}
+    assert sorted(r["details"]["status"] for r in new["audit_logs"].collect()) == ["error", "indexed", "low_quality", "ocr_pending"]
+    assert {r["document_id"] for r in new["pages"].collect()} == {a["id"], docs["z.txt"]["id"]}
+    assert new["documents"].schema == intake.intake(spark.createDataFrame([], UPLOAD), matters, "u")["documents"].schema
+
+
+def test_reprocess_and_reanalyse(spark):
+    matters = spark.createDataFrame([("m1", "c1", "Morsure de chien", None, T0)], MATTERS)
+    rows = [("a.txt", b"Le litige Morsure de chien avance bien pour tous.", "text/plain", None, None, "Auto", None, None, T0), ("b.txt", b"Autre chose, sans rien de connu.", "text/plain", None, "m9", "Auto", None, None, T0)]
+    new = {k: staged(v) for k, v in intake.intake(spark.createDataFrame(rows, UPLOAD), matters, "u").items()}
+    a = new["documents"].filter("filename = 'a.txt'").head()["id"]
+    fresh = spark.createDataFrame([(a, b"Note interne du 3 mars 2021 sur une analyse du dossier."), ("gone", b"x")], "id string, content binary")
+    out = intake.reprocess(new["documents"], new["pages"], fresh, matters, "u", F.lit(T0))
+    docs = {r["filename"]: r for r in out["documents"].collect()}
+    assert len(docs) == 2 and docs["a.txt"]["doc_type"] == "Note" and docs["a.txt"]["matter_id"] is None and docs["b.txt"]["matter_id"] == "m9"
+    assert {r["text"][:4] for r in out["pages"].collect()} == {"Note", "Autr"}
+    assert [(r["id"], r["status"]) for r in out["report"].collect()] == [(a, "indexed")] and out["audit_logs"].head()["action"] == "reprocess"
+    again = {r["filename"]: r for r in intake.reanalyse(new["documents"], new["pages"].limit(0), matters).collect()}
+    assert again["a.txt"]["matter_id"] == "m1" and again["b.txt"]["title"] == new["documents"].filter("filename = 'b.txt'").head()["title"]
+    once_more = {r["filename"]: r for r in intake.reanalyse(new["documents"].withColumn("matter_id", F.lit(None).cast("string")), new["pages"], matters).collect()}
+    assert once_more["a.txt"]["matter_id"] == "m1"
+
+
+# --- recognition engines and models ---------------------------------------------------------------------
+
+
+@pytest.fixture
+def fake_engines(monkeypatch):
+    """One engine that reads well when the image is turned by two degrees, one that gives noise, one that fails."""
+    good = "le certificat medical initial du patient constate une lesion a la suite de urgence".split()
+
+    def turned():
+        return lambda image, mode, angle: [(w, 95.0 if angle == 2 and mode == "6" else 30.0, 1, 1, 1, i // 4) for i, w in enumerate(good)] if image == b"page" else []
+
+    def noisy():
+        return lambda image, mode, angle: [("XQ", 0.5, 0, 0, 0, 0), ("trtrtrt", 0.6, 0, 0, 0, 1)]
+
+    def failing():
+        def run(image, mode, angle):
+            raise ValueError("unreadable")
+
+        return run
+
+    monkeypatch.setitem(engines.ENGINES, "tesseract", engines.Engine(turned, lambda: True, ocr.MODES, filtered=False))
+    monkeypatch.setitem(engines.ENGINES, "rapidocr", engines.Engine(noisy, lambda: True, ("rapid",)))
+    monkeypatch.setitem(engines.ENGINES, "paddleocr", engines.Engine(failing, lambda: True, ("paddle",)))
+
+
+def test_recognition_in_two_stages(spark, fake_engines):
+    images = spark.createDataFrame([("a", b"page"), ("a", b"page"), ("b", b"other"), ("c", None)], "image_id string, content binary")
+    got = engines.read_images(images, ["tesseract", "rapidocr", "paddleocr"]).collect()
+    assert [(r["image_id"], r["engine"], r["psm"], r["angle"], r["quality"]) for r in got] == [("a", "tesseract", "6", 2, "good")]
+    assert got[0]["raw_text"].count("\n") == 3 and engines.read_images(images.limit(0), ["tesseract"]).count() == 0
+
+
+def test_waiting_documents_are_read(spark, fake_engines):
+    up = spark.createDataFrame([("x.png", b"page", "image/png", None, None, "Auto", None, None, T0), ("y.png", b"no", "image/png", None, None, "Auto", None, None, T0)], UPLOAD)
+    read = engines.read_pending(files.extract(intake.uploaded(up)), ["tesseract"])
+    got = {r["filename"]: r for r in read.collect()}
+    assert got["x.png"]["status"] == "indexed" and got["x.png"]["message"] == "OCR applique avec Tesseract, mode 6, apres correction d'inclinaison 2 degres." and len(got["x.png"]["pages"]) == 1
+    assert got["y.png"]["status"] == "ocr_pending" and not got["y.png"]["pages"]
+
+
+def test_engine_choice(fake_engines):
+    assert engines.selected({}) == ["rapidocr", "tesseract"] and engines.selected({"DOCUMENT_OCR_ENGINE": "paddle"}) == ["paddleocr"] and engines.selected({"DOCUMENT_OCR_ENGINE": "none"}) == []
+    assert engines.languages("List:\neng\nfra") == ("fra+eng", "") and engines.languages("List:\nfra")[0] == "fra" and engines.languages("")[1].startswith("Aucune") and engines.languages("x\neng")[1].startswith("Langue")
+
+
+def test_engine_results():
+    assert engines.parse_tsv("conf\ttext\tline_num\n96.5\tmot\t3\n\tvide\tx\n") == [("mot", 96.5, 0, 0, 0, 3), ("vide", -1.0, 0, 0, 0, 0)]
+
+    class Page:
+        def json(self):
+            return {"res": {"rec_texts": ["a", "b"], "rec_scores": [0.5]}}
+
+    assert engines.paddle_words([Page(), {"texts": ["c"], "scores": ["x"]}]) == [("a", 0.5, 0, 0, 0, 0), ("b", 0.0, 0, 0, 0, 1), ("c", 0.0, 0, 0, 0, 0)]
+
+
+def test_a_model_beside_the_rules(spark, monkeypatch):
+    def model():
+        def run(prompts):
+            assert all("Morsure" in p for p in prompts)
+            return ['{"title": "Titre", "persons": ["A", "A", " "], "matter_id": "nowhere", "doc_date": "2020-13-99"}' if "chien" in p.split("Text:")[-1] else "no json" for p in prompts]
+
+        return run
+
+    monkeypatch.setitem(providers.MODELS, "fake", model)
+    matters = spark.createDataFrame([("m1", "c1", "Morsure de chien", None, T0)], MATTERS)
+    docs = spark.createDataFrame([("1", "La morsure de chien.", "f", "", None, None, False), ("2", "Autre.", "g", "", None, None, False), ("3", " ", "h", "", None, None, False)], "id string, text string, filename string, type string, document_date date, matter_id string, matter_locked boolean")
+    got = {r["id"]: r["analysis"] for r in analysis.analyse_with_model(docs, matters, "fake").collect()}
+    assert (got["1"]["title"], got["1"]["persons"], got["1"]["matter_id"], got["1"]["method"], got["1"]["confidence"], got["1"]["doc_date"]) == ("Titre", ["A"], "m1", "fake", 0.9, None)
+    assert got["2"]["method"] == got["3"]["method"] == "local-rules" and analysis.analyse_with_model(docs, matters, "off").filter("analysis.method <> 'local-rules'").count() == 0
