@@ -2,10 +2,12 @@
 
 Names are reduced to distinct spellings first, then read as a person (family and given name or
 initials) or an organisation (distinctive word, kind of business, legal form). Distinctive words are
-cut into k+1 segments: two words within k edits agree in at least one of them up to a shift, so an
-inverted index of segments finds every such pair. Pairs are verified with a banded edit distance that
-counts a transposition as one edit. A rare spelling is tied to the most frequent word it may stand for;
-given names, nicknames and initials then decide which bearer of that family name is meant.
+cut into k+2 segments: two words within k edits agree in at least two of them up to shifts, so an
+inverted index of pairs of segments finds every such pair of words. Two segments instead of one make the
+keys half a word long: no frequent beginning or ending alone brings words together. Pairs are verified
+with banded edit distances: one edit (a transposition of neighbours counts as one), two in long words.
+A rare spelling is tied to the most frequent word it may stand for, given names likewise within a family;
+nicknames and initials then decide which bearer of that family name is meant.
 """
 
 from __future__ import annotations
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 
 from quillon.runtime import staged
 
-EDITS, VERIFIED = 2, 1
+EDITS = 2
+#: From this length of the longer word on two edits are accepted, below it one.
+LONG = 8
+#: A given name is taken for a slip of another one of its family if that one is so many times as frequent everywhere.
+SLIP = 10
 # Titles, legal forms, kinds of business with their abbreviations, nicknames. Parameters of a deployment.
 TITLES = ("m", "mr", "mme", "mlle", "me", "maitre", "dr", "docteur", "monsieur", "madame", "mrs", "ms", "miss", "herr", "frau", "sr", "sra", "don", "dona", "prof", "pr")
 LEGAL = {"sas": "sas", "sarl": "sarl", "sa": "sa", "sci": "sci", "gmbh": "gmbh", "gesellschaft mbh": "gmbh", "ltd": "ltd", "limited": "ltd", "societe": "", "ste": "", "eurl": "eurl", "snc": "snc", "ag": "ag", "sl": "sl", "inc": "inc", "llc": "llc"}
@@ -100,9 +106,23 @@ def distance(a: str, b: str, most: int) -> int:
     return min(row[len(b)], most + 1)
 
 
-def segments(length: int, k: int) -> list[tuple[int, int]]:
-    """(start, size) of k+1 segments of nearly equal size."""
-    n, out, at = k + 1, [], 0
+def plain_distance(a: str, b: str, most: int) -> int:
+    """Edits between two words, a transposition counting as two; most + 1 if there are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def segments(length: int, k: int = EDITS) -> list[tuple[int, int]]:
+    """(start, size) of k+2 segments of nearly equal size, of one letter each where there are fewer letters."""
+    n, out, at = min(k + 2, length), [], 0
     for i in range(n):
         size = length // n + (i >= n - length % n)
         out.append((at, size))
@@ -110,33 +130,56 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def alike_words(words: DataFrame, k: int = EDITS, verified: int = VERIFIED) -> DataFrame:
-    """(a, b): different words of (word) within `verified` edits, found through k-edit segments."""
+def segment_pairs(length: int, k: int = EDITS) -> list[tuple[int, int]]:
+    """The pairs of segments of which one is intact in every word within k edits; words of three letters have single ones."""
+    n = min(k + 2, length)
+    return [(i, j) for i in range(n) for j in range(i + 1, n)] if n == k + 2 else [(i, i) for i in range(n)]
+
+
+def shifts(delta: int, k: int = EDITS) -> list[tuple[int, int]]:
+    """By how much two segments may stand off in a word longer by delta: the edits before, between and behind them are k together."""
+    return [(s, t) for s in range(-k, k + 1) for t in range(-k, k + 1) if abs(s) + abs(t - s) + abs(delta - t) <= k]
+
+
+def same_but_slips(a: str, b: str) -> bool:
+    """Whether two words are one edit apart, or two in long words."""
+    return distance(a, b, 1) <= 1 or (max(len(a), len(b)) >= LONG and plain_distance(a, b, EDITS) <= EDITS)
+
+
+def alike_words(words: DataFrame, k: int = EDITS) -> DataFrame:
+    """(a, b): different words of (word) of three letters or more that are the same but for slips, found through pairs of segments."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(len(w), i, w[s : s + n], w) for w in b["word"] if len(w) > k for i, (s, n) in enumerate(segments(len(w), k))], columns=["len", "seg", "part", "a"])
+            out = []
+            for w in b["word"]:
+                if len(w) > k:
+                    cut = segments(len(w), k)
+                    part = lambda i: w[cut[i][0] : cut[i][0] + cut[i][1]]  # noqa: B023, E731
+                    out += [(f"{len(w)}.{i}.{j}.{part(i)}.{part(j)}", w) for i, j in segment_pairs(len(w), k)]
+            yield pd.DataFrame(out, columns=["part", "a"])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = set()
             for w in b["word"]:
                 for length in range(max(k + 1, len(w) - k), len(w) + 1):  # each pair once: the indexed word is not longer
-                    for i, (s, n) in enumerate(segments(length, k)):
-                        for p in range(max(0, s - k), min(len(w) - n, s + k) + 1):
-                            out.add((length, i, w[p : p + n], w))
-            yield pd.DataFrame(list(out), columns=["len", "seg", "part", "b"])
-
-    # A segment shared by many words is no problem of size alone: pairs are made distinct before they are verified.
-    left = words.select("word").mapInPandas(index, "len int, seg int, part string, a string")
-    right = words.select("word").mapInPandas(probe, "len int, seg int, part string, b string")
+                    cut, off = segments(length, k), shifts(len(w) - length, k)
+                    for i, j in segment_pairs(length, k):
+                        (p, n), (q, m) = cut[i], cut[j]
+                        for s, t in off:
+                            if p + s >= 0 and q + t + m <= len(w) and (i == j or p + s + n <= q + t):
+                                out.add((f"{length}.{i}.{j}.{w[p + s : p + s + n]}.{w[q + t : q + t + m]}", w))
+            yield pd.DataFrame(list(out), columns=["part", "b"])
+
+    left = words.select("word").mapInPandas(index, "part string, a string")
+    right = words.select("word").mapInPandas(probe, "part string, b string")
     # The sides' sizes are only known once Python has made them, so the join is told to shuffle.
-    pairs = left.join(right.hint("merge"), ["len", "seg", "part"]).filter("a <> b").select("a", "b").distinct()
+    pairs = left.join(right.hint("merge"), "part").filter("a <> b").select("a", "b").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [distance(x, y, verified) <= verified for x, y in zip(b["a"], b["b"])]
-            yield b[ok]
+            yield b[[same_but_slips(x, y) for x, y in zip(b["a"], b["b"])]]
 
     close = pairs.mapInPandas(verify, "a string, b string")
     return close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -156,6 +199,30 @@ def short_for(short: str, full: str) -> bool:
     return len(short) < len(plain) and (plain.startswith(short) or (len(short) >= 4 and short[-1] in "yi" and plain.startswith(short[:-1])))
 
 
+class Fulls:
+    """The two heaviest names that a short form may stand for: short_for() over many names, without comparing each with each."""
+
+    def __init__(self) -> None:
+        self.top: dict[tuple[str, str], list[tuple[float, str]]] = {}
+
+    def add(self, full: str, weight: float) -> None:
+        plain = full.replace("-", "")
+        keys = {("i", "".join(p[0] for p in full.split("-") if p)), ("i", full[:1]), ("i", full[:2]), ("n", full)}
+        keys |= {("p", plain[:n]) for n in range(3, len(plain))} | {("y", plain[:n]) for n in range(3, len(plain) - 1)}
+        for k in keys:
+            self.top[k] = sorted([*self.top.get(k, ()), (weight, full)], reverse=True)[:3]  # one of them may be the short form itself
+
+    def of(self, short: str) -> list[tuple[float, str]]:
+        """Up to two (weight, name), heaviest first, without the short form itself."""
+        if not short:
+            return []
+        if len(short) <= 2:
+            keys = [("i", short)]
+        else:
+            keys = [("p", short), ("n", NICKNAMES.get(short, ""))] + ([("y", short[:-1])] if len(short) >= 4 and short[-1] in "yi" else [])
+        return sorted({x for k in keys for x in self.top.get(k, ()) if x[1] != short}, reverse=True)[:2]
+
+
 def spellings(values: DataFrame) -> DataFrame:
     """(name, n, kind, tokens, shapes, business, legal) of the distinct spellings of (name)."""
     distinct = values.filter("name is not null").groupBy("name").agg(F.count("*").alias("n"))
@@ -200,10 +267,26 @@ def anchors(bearers: DataFrame) -> DataFrame:
     shared = close.join(ctx.select(F.col("word").alias("a"), "context"), "a").join(ctx.select(F.col("word").alias("b"), "context"), ["b", "context"]).select("a", "b").distinct()
     ranked = shared.join(n.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b").filter("nb > na or (nb = na and b < a)")
     best = staged(ranked.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("anchor")).select(F.col("a").alias("word"), "anchor"), "best")
-    one = n.select("word").join(best, "word", "left")
-    # A misspelling's anchor may itself be anchored: one more step.
-    two = one.join(best.select(F.col("word").alias("anchor"), F.col("anchor").alias("further")), "anchor", "left")
-    return two.select("word", F.coalesce("further", "anchor", "word").alias("anchor"))
+    # An anchor may itself be anchored: followed to the end; every step leads to a more frequent word, or to a smaller one.
+    while True:
+        on = best.select(F.col("word").alias("anchor"), F.col("anchor").alias("further"))
+        step = staged(best.join(on, "anchor", "left").select("word", F.coalesce("further", "anchor").alias("anchor"), F.col("further").isNotNull().alias("moved")), "best")
+        best = step.select("word", "anchor")
+        if step.filter("moved").isEmpty():
+            break
+    return n.select("word").join(best, "word", "left").select("word", F.coalesce("anchor", "word").alias("anchor"))
+
+
+def given_slips(placed: DataFrame) -> DataFrame:
+    """(anchor, given, meant) of placed (anchor, given, n): given names that are a slip of a much more frequent one of the same family."""
+    forms = placed.filter("length(given) >= 4").groupBy("anchor", "given").agg(F.sum("n").alias("n"))
+    total = staged(forms.groupBy(F.col("given").alias("word")).agg(F.sum("n").alias("n")), "given")
+    close = staged(alike_words(total), "alike")
+    side = lambda c: total.select(F.col("word").alias(c), F.col("n").alias(f"n{c}"))
+    much = close.join(side("a"), "a").join(side("b"), "b").filter(F.col("nb") >= SLIP * F.col("na"))
+    there = forms.select("anchor", F.col("given").alias("b"))
+    found = forms.select("anchor", F.col("given").alias("a")).join(much, "a").join(there, ["anchor", "b"])
+    return found.groupBy("anchor", F.col("a").alias("given")).agg(F.max_by("b", F.struct("nb", "b")).alias("meant"))
 
 
 def entities(values: DataFrame) -> DataFrame:
@@ -220,27 +303,35 @@ def entities(values: DataFrame) -> DataFrame:
     contexts = F.array_distinct(F.concat(contexts, F.coalesce(F.array(F.substring(F.element_at(nick, F.col("given")), 1, 1)), F.array().cast("array<string>"))))
     family = anchors(people.select("word", contexts.alias("contexts"), "n"))
     placed = staged(people.join(family, "word"), "placed")
+    placed = staged(placed.join(given_slips(placed), ["anchor", "given"], "left").withColumn("given", F.coalesce("meant", "given")).drop("meant"), "placed")
     forms = staged(placed.groupBy("anchor", "given").agg(F.sum("n").alias("n")), "forms")
 
     def resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        """Which full given name each form of one family name means; the forms of one family are few."""
+        """Which full given name each form of one family name means."""
         n = dict(zip(group["given"], group["n"]))
-        full = [g for g in n if len(g.replace("-", "")) > 2 and not any(g != o and len(o.replace("-", "")) > 2 and short_for(g, o) for o in n)]
-        out = []
+        every, fulls, heads = Fulls(), Fulls(), Fulls()
+        long = lambda g: len(g.replace("-", "")) > 2
+        for g in n:
+            if long(g):
+                every.add(g, 0)
+        full = {g for g in n if long(g) and not every.of(g)}
+        for g in full:
+            fulls.add(g, n[g])
+        top = sorted(((n[g], g) for g in full), reverse=True)[:2]  # for names without a given one
+        means, alone = {}, []
         for g in n:
-            if g in full:
-                out.append((key[0], g, g))
-                continue
-            fits = sorted(((n[f], f) for f in full if short_for(g, f)), reverse=True) if g else sorted(((n[f], f) for f in full), reverse=True)
-            chosen = fits[0][1] if fits and (len(fits) == 1 or fits[0][0] >= 3 * fits[1][0]) else g
-            out.append((key[0], g, chosen))
+            fits = [] if g in full else fulls.of(g) if g else top
+            means[g] = fits[0][1] if fits and (len(fits) == 1 or fits[0][0] >= 3 * fits[1][0]) else g
+            if means[g] == g and g not in full and g:
+                alone.append(g)
         # Short forms without a full one (initials and nicknames alone) meet where they fit each other.
-        alone = sorted((g for a, g, c in out if c == g and g not in full and g), key=len, reverse=True)
-        head: dict[str, str] = {}
-        for g in alone:
-            fit = [h for h in head.values() if short_for(g, h)]
-            head[g] = fit[0] if len(set(fit)) == 1 else g
-        return pd.DataFrame([(a, g, head.get(c, c)) for a, g, c in out], columns=["anchor", "given", "bearer"])
+        for g in sorted(alone, key=lambda g: (-len(g), g)):
+            fit = heads.of(g)
+            if len(fit) == 1:
+                means[g] = fit[0][1]
+            else:
+                heads.add(g, 0)
+        return pd.DataFrame([(key[0], g, m) for g, m in means.items()], columns=["anchor", "given", "bearer"])
 
     bearers = forms.groupBy("anchor").applyInPandas(resolve, "anchor string, given string, bearer string")
     persons = placed.join(bearers, ["anchor", "given"]).select("name", F.concat_ws("|", F.lit("person"), "anchor", "bearer").alias("entity"), F.lit("person").alias("kind"), "n")
@@ -257,7 +348,10 @@ def entities(values: DataFrame) -> DataFrame:
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a smaller: different spellings of one entity."""
+    """(name_a, name_b), name_a smaller: different spellings of one entity. An entity of many spellings is paired in parts."""
     n = linked.select("entity", "name").distinct()
-    pairs = n.select("entity", F.col("name").alias("name_a")).join(n.select("entity", F.col("name").alias("name_b")), "entity").filter("name_a < name_b")
-    return pairs.select("name_a", "name_b").distinct()
+    many = n.groupBy("entity").agg(F.count("*").alias("c")).filter("c > 1").withColumn("parts", F.ceil(F.col("c") / 1000).cast("int")).drop("c")
+    n = n.join(many, "entity")
+    left = n.select("entity", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"))
+    right = n.select("entity", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["entity", "part"]).filter("name_a < name_b").select("name_a", "name_b").distinct()

@@ -136,9 +136,39 @@ def test_segment_join_misses_nothing(spark):
     import random
 
     r = random.Random(2)
-    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(3, 7))) for _ in range(150)})
+    words = {"".join(r.choice("abc") for _ in range(r.randint(3, 12))) for _ in range(300)}
+    for w in list(words)[:120]:  # and slips of them: letters gone, doubled, changed, swapped
+        for _ in range(2):
+            i = r.randrange(len(w))
+            words.add(r.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + "d" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]]))
+    words = sorted(w for w in words if len(w) > 2)
     got = {(x["a"], x["b"]) for x in names.alike_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
-    assert got == {(a, b) for a in words for b in words if a != b and names.distance(a, b, 1) <= 1}
+    assert got == {(a, b) for a in words for b in words if a != b and names.same_but_slips(a, b)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("aby-", min_size=1, max_size=6), min_size=1, max_size=12, unique=True), st.text("aby", min_size=1, max_size=5))
+def test_short_forms_are_looked_up_as_they_are_compared(fulls, short):
+    index = names.Fulls()
+    for i, f in enumerate(fulls):
+        index.add(f, i)
+    assert index.of(short) == sorted([(i, f) for i, f in enumerate(fulls) if f != short and names.short_for(short, f)], reverse=True)[:2]
+
+
+def test_slips_in_given_names_and_two_edits(spark):
+    right = "Valerie Dupont"
+    values = [right] * 20 + ["Valreie Dupont", "Alerie Dupont", "Valerie Duupontt"] + ["Marion Leblanc"] * 4 + ["Marian Leblanc"] * 3
+    df = spark.createDataFrame([(n,) for n in values], "name string")
+    linked = {}
+    for r in names.entities(df).collect():
+        linked.setdefault(r["entity"], set()).add(r["name"])
+    assert {right, "Valreie Dupont", "Alerie Dupont", "Valerie Duupontt"} in linked.values()
+    assert {"Marion Leblanc"} in linked.values() and {"Marian Leblanc"} in linked.values()
+
+
+def test_chains_of_anchors_are_followed(spark):
+    df = spark.createDataFrame([(w, ["x"], n) for w, n in (("martina", 1), ("martin", 3), ("mmartin", 9), ("mmartinn", 20), ("mmartinnn", 50))], "word string, contexts array<string>, n bigint")
+    assert {r["anchor"] for r in names.anchors(df).collect()} == {"mmartinnn"}
 
 
 def test_name_variants(spark):
