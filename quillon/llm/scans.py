@@ -1,7 +1,8 @@
 """Text of scanned pages as continuous paragraphs: running lines, page numbers, split words, misread characters.
 
 Lines at page edges that recur within their document, but for misread characters (folded, then up to
-two edits) and numbers, are running headers or footers; lines that hold the page's number are page numbers. Words split at a line
+two edits) and numbers, are running headers or footers; lines that hold the page's number, or a number that runs on with
+the document's pages, are page numbers. Words split at a line
 end are joined where the corpus vocabulary knows the joined word better than the one with a hyphen.
 Misread words are mostly those that occur no more often in clean pages than in scanned ones and that a known confusion of characters
 turns into a much more frequent word of the corpus. All counts are of the whole corpus.
@@ -50,15 +51,35 @@ def source_lines(pages: DataFrame) -> DataFrame:
     return rows.select("id", "document_id", "page_number", F.split("src", r"\r?\n|\f|\r").alias("lines"))
 
 
+def number_sequences(numbered: DataFrame) -> DataFrame:
+    """(id, counted_at) of numbered (id, document_id, page_number, odd: struct(place, value) of numbers at the edges that are not the page's).
+
+    Numbers that stand the same distance from page_number on two or more pages of a document run on with
+    its pages: they are page numbers of another count, places are given for those.
+    """
+    each = numbered.filter("document_id is not null and page_number is not null").select("id", "document_id", "page_number", F.explode("odd").alias("o")).select("id", "document_id", F.col("o.place").alias("place"), (F.col("o.value") - F.col("page_number")).alias("off"))
+    runs = each.groupBy("document_id", "off").agg(F.count_distinct("id").alias("n")).filter("n > 1").select("document_id", "off")
+    salted = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one document may hold a third of the pages
+    return each.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, ["document_id", "off", "salt"]).groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("counted_at"))
+
+
 def edges(lines: DataFrame) -> DataFrame:
-    """lines with top, foot (places of the first and last line that is no page number) and number_at (places of page numbers)."""
+    """lines with top, foot (places of the first and last line that is no page number) and number_at (places of page numbers).
+
+    A page number is the page's own, or one of a sequence that runs on with the document's pages; without a
+    page_number every number on a line of its own at an edge is one.
+    """
     at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.regexp_like(F.get("lines", i), F.lit(r"\S")))
     df = lines.withColumn("at", at).withColumn("near", F.array_distinct(F.concat(F.slice("at", 1, 2), F.slice(F.reverse("at"), 1, 2))))
-    found = lambda i: F.regexp_extract(F.get("lines", i), NUMBER_LINE, 1)
-    is_number = lambda i: (found(i) != "") & (F.col("page_number").isNull() | (found(i).cast("int") == F.col("page_number")))
-    df = df.withColumn("number_at", F.filter("near", is_number))
+    numbers = F.filter(F.transform("near", lambda i: F.struct(i.alias("place"), F.regexp_extract(F.get("lines", i), NUMBER_LINE, 1).try_cast("int").alias("value"))), lambda x: x["value"].isNotNull())
+    df = df.withColumn("numbers", numbers)
+    own = lambda x: F.col("page_number").isNull() | (x["value"] == F.col("page_number"))
+    odd = df.select("id", "document_id", "page_number", F.filter("numbers", lambda x: ~own(x)).alias("odd")).filter("size(odd) > 0")
+    counted = checked_broadcast(staged(number_sequences(odd), "sequences"))
+    none = F.array().cast("array<int>")
+    df = df.join(counted, "id", "left").withColumn("number_at", F.array_union(F.transform(F.filter("numbers", own), lambda x: x["place"]), F.coalesce("counted_at", none)))
     free = F.array_except("at", "number_at")
-    return df.withColumn("free", free).withColumn("top", F.get("free", F.lit(0))).withColumn("foot", F.when(F.size("free") > 1, F.element_at("free", -1))).drop("near", "free", "at")
+    return df.withColumn("free", free).withColumn("top", F.get("free", F.lit(0))).withColumn("foot", F.when(F.size("free") > 1, F.element_at("free", -1))).drop("near", "free", "at", "numbers", "counted_at")
 
 
 def alike_forms(singles: DataFrame, others: DataFrame) -> DataFrame:
@@ -108,7 +129,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 def readings(word: str, confusions=CONFUSIONS, depth: int = 2) -> set[str]:
-    """What a word may have been before up to `depth` confusions."""
+    """What a word may have been before up to `depth` confusions: some thousands of readings for 40 equal letters, some hundred for words."""
     front, seen = {word}, {word}
     for _ in range(depth):
         new = set()
@@ -120,8 +141,6 @@ def readings(word: str, confusions=CONFUSIONS, depth: int = 2) -> set[str]:
                     i = w.find(wrong, i + 1)
         front = new - seen
         seen |= front
-        if len(seen) > 3000:  # only strings of a few repeated letters get there; they are no words
-            break
     return {w for w in seen if w != word and not re.search(r"[\d@]", w)}
 
 

@@ -98,6 +98,21 @@ def test_scan_paragraphs(scan_tables):
     assert got["s3"] == "" and len(got) == 3
 
 
+def test_page_numbers_of_another_count(spark):
+    """Numbers that run on with the pages are page numbers, wherever the count begins; single ones and repeated ones are not."""
+    rows = [(f"p{i}", "d", i, None, f"Le texte ici.\nLa suite {'a' * i}.\n{i + 40}") for i in range(1, 5)] + [(f"q{i}", "e", i, None, f"Le texte ici.\nLa suite {'a' * i}.\n{n}") for i, n in ((1, 7), (2, 7), (3, 3))] + [("z", None, None, None, "Le texte.\n9"), ("y", "f", 2, None, "9\nLe texte.")]
+    df = spark.createDataFrame(rows, "id string, document_id string, page_number int, text string, raw_text string")
+    got = {r["id"] for r in scans.edges(scans.source_lines(df)).filter("size(number_at) > 0").collect()}
+    assert got == {"p1", "p2", "p3", "p4", "q3", "z"}
+    assert scans.edges(scans.source_lines(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("wrong, right", scans.CONFUSIONS)
+def test_every_confusion_is_read_and_long_words_keep_theirs(wrong, right):
+    assert f"x{right}x" in scans.readings(f"x{wrong}x") or any(c in "0123456789@" for c in right)
+    assert len(scans.readings("l" * 40)) > 800
+
+
 def test_headers_misread_past_the_fold(spark):
     heads = {"a1": "Ftude Guvutrepal & associes", "a2": "Etude Guvutrepal & associes", "a3": "Etude Guvutrepal & associes", "b1": "CABINFT JUSATOTIC - Dossier", "b2": "CABINET JUSATOTIC - Dossier", "c1": "Annexe comptable", "c2": "Bilan financier annuel", "f1": "In short, the laboratory since 27", "f2": "In short, the laboratory sinse", "e1": "Faxe y8q", "e2": "Taxe v8g"}
     rows = [(i, i[0], int(i[1]), None, f"{h}{chr(10) * (i[0] != 'f')}\nLe texte {i * 9} figure ici.\nLa suite {i * 9} vient.") for i, h in heads.items()]
