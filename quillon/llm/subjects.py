@@ -30,6 +30,8 @@ SHARE = 0.25
 LEAST_LEAN, LEAST_CONFIDENCE, MAX_ITEMS = 0.6, 0.65, 3
 #: Least sentences and documents of an item: numbers, and shares of the sample.
 LEAST_SUPPORT, LEAST_DOCS, LEAST_SUPPORT_SHARE, LEAST_DOCS_SHARE = 3, 2, 5e-5, 5e-4
+#: Items of a basket of pattern growth.
+BASKET = 12
 #: Sentences by which rates are smoothed, and the evidence from which a sentence bears a subject.
 SMOOTHING, BEARING = 20.0, 0.6
 # Frequent function words tell a sentence's language, within which subjects are weighed.
@@ -41,15 +43,8 @@ FUNCTION_WORDS = {
 }
 _CLASS, NONE = "class=", "-"
 
-_REFERENCE = r"(?:RG )?\S{4,14}"
-#: Running lines of pages, each with a plain string that a text must hold for the pattern to be tried.
-_LINES = tuple(
-    (mark, re.compile(p))
-    for mark, p in (
-        ("--- Page", r"--- Page \d+ ---"), (" / ", r" / (?:RG )?\S{4,20} / [cç]\S{8,14}"), ("www.", r"www\.\S+\s+T\S{2,4} d\S{3,5} r\S{5,8}"),
-        (" -- f", r" -- f\S{6,10} \d{1,4} de \d{1,4}"), ("CABINET", r"CABINET \S+ - D\S{5,8} " + _REFERENCE), ("Etude ", r"Etude \S+ & a\S{6,9}"),
-    )
-)
+#: The mark between the pages of a document's text.
+_PAGE_MARK = re.compile(r"--- Page \d+ ---")
 _SPLIT = re.compile(r"[-‐‑­]\s+(?=[a-zà-ÿœ])")
 _END = re.compile(r"[.!?…]+[\"»)]?\s+(?=[^a-zà-ÿ])")
 _ABBREVIATION = re.compile(r"(?:^|[\s.(])(?:[A-ZÀ-Ý]|Dr|Mr|Ms|Sr|Mrs|Sra|Ref|Réf|Tél)$")
@@ -57,20 +52,11 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The sentences of a text as lower-case words; running lines of pages are left out."""
+    """The sentences of a text as lower-case words. Running lines stay: they lean to no subject, so that they weigh nothing."""
     if not text:
         return []
-    for mark, pattern in _LINES:
-        if mark in text:
-            if mark[0] == " ":  # what stands before belongs to the line, too: its name, or its reference
-                parts, at = [], 0
-                for m in pattern.finditer(text):
-                    start = max(at, m.start() - 40, *(text.rfind(c, at, m.start()) + 1 for c in (".\n—]" if mark == " / " else ". \n")))
-                    parts += [text[at:start], ". "]
-                    at = m.end()
-                text = "".join(parts) + text[at:]
-            else:
-                text = pattern.sub(". ", text)
+    if "--- Page" in text:
+        text = _PAGE_MARK.sub(". ", text)
     text = _SPLIT.sub("", text)
     out, at = [], 0
     for m in _END.finditer(text):
@@ -170,13 +156,23 @@ def _counts(texts: DataFrame, names: frozenset[str], rules: Rules | None) -> Dat
     return texts.mapInPandas(run, "item string, lang string, subject string, n bigint")
 
 
+def windows(items: list[str], size: int = BASKET) -> Iterator[list[str]]:
+    """Parts of a list that overlap by half, so that neighbours meet in one of them; a short list is its only part."""
+    for i in range(0, max(len(items) - size // 2, 1), size // 2):
+        yield items[i : i + size]
+
+
 def _baskets(texts: DataFrame, lean: frozenset[str], names: frozenset[str], rules: Rules | None) -> DataFrame:
-    """(items): a sentence's leaning items, at most eight, the longest ones, and its subject."""
+    """(items): a sentence's leaning items and its subject; of a very long sentence in overlapping parts, in alphabetical order.
+
+    Frequent-pattern growth doubles with every item of a basket, so baskets have a size; single items are
+    counted over whole sentences elsewhere, see mine().
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = ((subject, items & lean) for _, _, subject, items in _sentences(b, names, rules))
-            yield pd.DataFrame({"items": [[*sorted(items, key=lambda x: (-len(x), x))[:8], _CLASS + subject] for subject, items in found if items]})
+            yield pd.DataFrame({"items": [[*part, _CLASS + subject] for subject, items in found if items for part in windows(sorted(items))]})
 
     return texts.mapInPandas(run, "items array<string>")
 
@@ -236,11 +232,13 @@ def mine(texts: DataFrame, names: frozenset[str], rules: Rules | None = None) ->
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support / total), minConfidence=0.0).fit(baskets)
     sets = model.freqItemsets.filter(F.size("items").between(2, MAX_ITEMS + 1))
     is_class = lambda x: F.startswith(x, F.lit(_CLASS))
-    split = sets.select(F.sort_array(F.filter("items", lambda x: ~is_class(x))).alias("body"), F.filter("items", is_class).alias("head"), F.col("freq").alias("n")).filter("size(head) = 1 and size(body) >= 1")
+    split = sets.select(F.sort_array(F.filter("items", lambda x: ~is_class(x))).alias("body"), F.filter("items", is_class).alias("head"), F.col("freq").alias("n")).filter("size(head) = 1 and size(body) >= 2")
     tongues = texts.sparkSession.createDataFrame(sorted((i, leaning[i][0]) for i in lean), "item string, lang string")
     heads = split.select("body", F.substring(F.get("head", F.lit(0)), len(_CLASS) + 1, 1000).alias("subject"), "n", F.lit(1).alias("d"), F.get("body", F.lit(0)).alias("item"))
     sure = _shares(heads.join(F.broadcast(tongues), "item"), sizes, ["body"]).filter((F.col("share") >= LEAST_CONFIDENCE) & (F.col("n") > 0))
-    return Rules(_prune({(tuple(r["body"]), r["subject"]): r["share"] for r in sure.select("body", "subject", "share").collect()}))
+    # Single items by their counts over whole sentences, sets of items by pattern growth.
+    alone = {((i,), leaning[i][1]): leaning[i][2] for i in lean if leaning[i][2] >= LEAST_CONFIDENCE}
+    return Rules(_prune(alone | {(tuple(r["body"]), r["subject"]): r["share"] for r in sure.select("body", "subject", "share").collect()}))
 
 
 def _prune(sure: dict[tuple[tuple[str, ...], str], float]) -> list[tuple[tuple[str, ...], str, float]]:

@@ -368,3 +368,21 @@ def test_every_query_runs(spark, data):
 
     for name, q in queries.queries().items():
         q(spark, data).count(), name
+
+
+def test_baskets_lose_no_item():
+    items = [f"i{n}" for n in range(40)]
+    parts = list(subjects.windows(items, 12))
+    assert set().union(*parts) == set(items) and max(map(len, parts)) == 12
+    assert all(any({a, b} <= set(p) for p in parts) for a, b in zip(items, items[6:]))
+    assert list(subjects.windows([], 12)) == [[]] and list(subjects.windows(items[:12], 12)) == [items[:12]]
+
+
+def test_a_text_without_sentences_keeps_its_items(spark):
+    """One sentence of many leaning words: rules of single words come from whole sentences, not from parts of baskets."""
+    words = {"tax": [f"impot{chr(97 + i)}" for i in range(20)], "sport": [f"match{chr(97 + i)}" for i in range(20)]}
+    rows = [(i, " ".join(words[("tax", "sport")[i % 2]]), None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, persons array<string>")
+    labels = spark.createDataFrame([(i, ("tax", "sport")[i % 2]) for i in range(40)], "doc_id bigint, subject string")
+    rules = subjects.learn(docs, labels)
+    assert {b[0] for b, _, _ in rules.rows if len(b) == 1} >= {w for x in words.values() for w in x}
