@@ -114,6 +114,19 @@ def test_neighbours_against_exact_search(spark):
     assert recall >= 0.95
 
 
+def test_range_borders_cut_no_window(spark, monkeypatch):
+    """Small ranges find what one range finds, but for the two ends of the curve."""
+    x = np.random.default_rng(11).standard_normal((1200, 64))
+    df = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, e array<double>")
+    found = []
+    for rows in (10_000, 250):
+        monkeypatch.setattr(hilbert, "PART_ROWS", rows)
+        found.append({r["id"]: set(r["others"]) for r in hilbert.neighbours(df, "id", "e", window=64).collect()})
+    assert all(i not in v and len(v) == 5 for i, v in found[1].items())
+    same = np.mean([len(v & found[1][i]) / 5 for i, v in found[0].items()])
+    assert same > 0.97
+
+
 def test_equal_vectors_and_few_rows(spark):
     rows = [(f"v{i}", [1.0, *[0.0] * 63]) for i in range(4)]
     got = {r["id"]: r["others"] for r in hilbert.neighbours(spark.createDataFrame(rows, "id string, e array<double>"), "id", "e").collect()}
