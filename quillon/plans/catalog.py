@@ -11,7 +11,7 @@ from quillon import lexicons as L
 from quillon.functions import facts
 from quillon.functions import text as T
 from quillon.operators import access, analysis, dashboard, orphans, search, store
-from quillon.runtime import checked_broadcast, latest_by_id, load
+from quillon.runtime import checked_broadcast, latest_by_id, load, staged
 from quillon.sources import files, ocr
 from quillon.streaming import landing
 
@@ -140,6 +140,14 @@ def search_lexical(spark, root):
     return _search(spark, root)
 
 
+@query(sql_search())
+def search_indexed(spark, root):
+    """The same search over a postings table, which this query writes first; a deployment keeps it."""
+    t = tables(spark, root, "documents", "pages", "matters", "clients", "users")
+    index = staged(search.postings(t), "postings", "bucket")
+    return search.search_postings(index, t, TEXT_QUERY, access.Rights.of(t["users"], USER))
+
+
 FILTER_SQL = "(type = 'Quittance de loyer' or doc_type = 'Quittance de loyer') and (document_date is null or document_date between date '2015-01-01' and date '2022-12-31')"
 
 

@@ -220,3 +220,120 @@ def texts_for_user(spark: SparkSession, root: str) -> DataFrame:
 def alerts_newest(spark: SparkSession, root: str) -> DataFrame:
     raised = store.alerts(load(spark, root, "documents"))
     return dashboard.newest(raised, 50, tie="message").select(F.lit("alert").alias("kind"), "level", "message", "created_at")
+
+
+# --- files ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with f as (select id, regexp_replace(coalesce(text, ''), '--- Page \\d+ ---\\n', chr(12), 'g') t from documents),
+    p as (select id, list_filter(list_transform(string_split(t, chr(12)), lambda x: {S.strip('x')}), lambda x: x <> '') parts from f), u as (select id, unnest(parts) part from p),
+    c as (select id, {S.readable('part')} t from u), q as (select id, {SPLIT[1]} confidence from c), m as (select id, count(*) n, round(avg(confidence), 3) mean, avg(confidence) exact from q where confidence >= 0.45 group by id)
+    select f.id, case when n is null then 'ocr_pending' when exact >= 0.75 then 'indexed' else 'low_quality' end status, case when n is null then 'unknown' when exact >= 0.75 then 'good' else 'low' end quality,
+    coalesce(mean, 0.0) confidence, greatest(coalesce(n, 0), 1)::bigint page_count, n is null ocr_required, case when n is null then 'no text layer; OCR required' else '' end message from f left join m using (id)"""
+)
+def pdf_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents' texts as the text layers of PDF files: pages, mean confidence, status."""
+    fed = F.regexp_replace(F.coalesce("text", F.lit("")), r"--- Page \d+ ---\n", "\f")
+    d = load(spark, root, "documents").select("id", fed.alias("layer"), F.lit("a.pdf").alias("path"), F.lit("application/pdf").alias("mime_type"), F.lit(b"").alias("content"))
+    return files.extract(d, "layer").select("id", "status", "quality", "confidence", F.col("page_count").cast("bigint").alias("page_count"), "ocr_required", "message")
+
+
+#: A PDF's bytes as they hold literal strings: the sentences of a text in brackets, plain ASCII, and a page object for each page.
+ASCII_SQL = "regexp_replace(coalesce(text, ''), '[^ -~]', ' ', 'g')"
+
+
+def sql_literals() -> str:
+    count = lambda e, others: f"length(regexp_replace({e}, '{others}', '', 'g'))"
+    letters = lambda e: count(e, "[^\\p{L}]")
+    readable = lambda e: count(e, r"[^\p{L}\p{N}'' \-_.,;:!?()\[\]{}\"/@+*=#%€$&\n\r\t]")
+    blanks = lambda e: count(e, r"[^ \n\r\t]")
+    t = S.strip("x")
+    literal = f"case when length({t}) < 3 then false when length({t}) < 80 then {letters(t)} >= 2 and {readable(t)} / length({t})::double > 0.9 and {blanks(t)} >= 1 else {letters(t)} >= 8 and {readable(t)} / length({t})::double > 0.86 and {blanks(t)} / length({t})::double > 0.03 end"
+    line = f"length(x) >= 3 and {letters('x')} >= 2 and {readable('x')} / length(x)::double > 0.88 and (regexp_matches(x, '[ \\n\\r\\t]') or length(x) < 80)"
+    return f"""with b as (select id, '(' || replace({ASCII_SQL}, '. ', '.) Tj (') || ') Tj ' || repeat('/Type /Page ', coalesce(page_count, 0)) raw from documents),
+    l as (select id, raw, list_filter(list_filter(regexp_extract_all(raw, '(?s)\\((.*?)\\)', 1), lambda x: length(x) >= 3), lambda x: {literal}) found from b)
+    select id, array_to_string(list_filter(list_transform(found, lambda x: {S.readable('x')}), lambda x: {line}), chr(10)) as text, greatest(len(regexp_extract_all(raw, '/Type\\s*/Page\\b')), 1)::bigint pages from l"""
+
+
+@query(sql_literals())
+def pdf_literals(spark: SparkSession, root: str) -> DataFrame:
+    """What is read from PDF files without a text layer: their literal strings, and the pages they seem to have."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", " ")
+    raw = F.concat(F.lit("("), F.replace(plain, F.lit(". "), F.lit(".) Tj (")), F.lit(") Tj "), F.expr("repeat('/Type /Page ', coalesce(page_count, 0))"))
+    d = load(spark, root, "documents").select("id", F.encode(raw, "ISO-8859-1").alias("content"))
+    return d.select("id", files.pdf_literals("content").alias("text"), files.pdf_page_estimate("content").cast("bigint").alias("pages"))
+
+
+@query("select doc_id, case when length(text) > 1500 then substr(text, 1, 1200) || chr(10) || '[...]' || chr(10) || right(text, 300) else text end clipped from documents")
+def clipped_text(spark: SparkSession, root: str) -> DataFrame:
+    """Texts clipped for a prompt, with limits that these texts reach."""
+    return load(spark, root, "documents").select("doc_id", T.clip("text", 1500, 1200, 300).alias("clipped"))
+
+
+# --- filters, new records, answers of a model, noise ------------------------------------------------------------
+
+@query("with c as (select min(client_id) c, min(matter_id) filter (where client_id is not null and matter_id <> '') m, min(responsible) filter (where responsible <> '') r from documents where client_id <> '') select 'client' as filter, id from documents, c where client_id = c union all select 'matter', id from documents, c where matter_id = m union all select 'responsible', id from documents, c where responsible = r")
+def documents_filtered(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that each of the equality filters lets through; the values are the smallest ones there are."""
+    docs = load(spark, root, "documents")
+    filed = docs.filter("client_id <> ''")
+    c, m, r = filed.agg(F.min("client_id"), F.min(F.when(F.col("matter_id") != "", F.col("matter_id"))), F.min(F.when(F.col("responsible") != "", F.col("responsible")))).head()
+    one = lambda name, f: docs.filter(f.matches()).select(F.lit(name).alias("filter"), "id")
+    return one("client", access.Filters(client_id=c)).unionByName(one("matter", access.Filters(matter_id=m))).unionByName(one("responsible", access.Filters(responsible=r)))
+
+
+def sql_created() -> str:
+    name = S.strip("n")
+    id_ = lambda prefix, *cols: f"'{prefix}_' || substr(sha256(concat_ws(chr(31), {', '.join(f'coalesce({c}, chr(0))' for c in cols)})), 1, 12)"
+    return f"""with c as (select coalesce(nullif({name}, ''), 'Nouveau client') v, contact from (select name n, contact from clients)), m as (select coalesce(nullif({name}, ''), 'Nouvelle affaire') v, coalesce(nullif({S.strip('status')}, ''), 'active') s from (select responsible n, status from matters)),
+    t as (select coalesce(nullif({name}, ''), 'Nouvelle tache') v, coalesce(nullif({S.strip('status')}, ''), 'open') s from (select title n, status from tasks)),
+    r as (select 'client' entity, {id_('client', 'v', 'contact')} id, v as name, null status from c union all select 'matter', {id_('matter', 'v', 's')}, v, s from m union all select 'task', {id_('task', 'v', 's')}, v, s from t)
+    select entity, id, name, status, 'create' as action, '{USER}' actor_id from r"""
+
+
+@query(sql_created())
+def created_records(spark: SparkSession, root: str) -> DataFrame:
+    """New clients, matters and tasks of typed names, and the audit rows of that."""
+    made = {
+        "client": store.create(load(spark, root, "clients").select("name", "contact"), "client", "Nouveau client"),
+        "matter": store.create(load(spark, root, "matters").select(F.col("responsible").alias("name"), "status"), "matter", "Nouvelle affaire", status="active"),
+        "task": store.create(load(spark, root, "tasks").select("title", "status"), "task", "Nouvelle tache", name="title", status="open").withColumnRenamed("title", "name"),
+    }
+    out = None
+    for entity, rows in made.items():
+        status = F.col("status") if "status" in rows.columns else F.lit(None).cast("string")
+        rows = rows.select("id", "name", status.alias("status"), F.lit(MOMENT).cast("timestamp").alias("created_at"))
+        log = store.audit(rows, USER, "create", entity).select(F.col("entity_id").alias("id"), "entity", "action", "actor_id").distinct()
+        one = rows.join(log, "id").select("entity", "id", "name", "status", "action", "actor_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"""with a as (select id, case when text is null then 'no answer' else '{{' || '"title": ' || to_json(title) || ', "doc_type": ' || to_json(type) || ', "doc_date": ' || to_json(document_date::varchar) || ', "persons": ' || to_json(persons) || ', "summary": ' || to_json(summary) || ', "matter_id": ' || to_json(matter_id) || '}}' end said, title, type, document_date, persons, summary, matter_id, text from documents)
+    select id, {S.strip("coalesce(title, '')")}[1:140] title, {S.strip("coalesce(type, '')")}[1:80] doc_type, case when document_date::varchar similar to '(19|20)\\d{{2}}-[01]\\d-[0-3]\\d' then document_date end doc_date,
+    array_to_string((select list(v order by pos) from (select v, min(pos) pos from (select {S.strip('v')} v, pos from (select unnest(coalesce(persons, [])) v, generate_subscripts(coalesce(persons, []), 1) pos)) where v <> '' group by v))[1:12], '; ') persons,
+    {S.strip("coalesce(summary, '')")}[1:900] summary, nullif(matter_id, '') matter_id from a where text is not null"""
+)
+def model_answers(spark: SparkSession, root: str) -> DataFrame:
+    """A model's answers checked: the documents' own fields as JSON, and no JSON where there is no text."""
+    docs = load(spark, root, "documents")
+    said = F.when(F.col("text").isNull(), "no answer").otherwise(F.to_json(F.struct("title", F.col("type").alias("doc_type"), F.col("document_date").cast("string").alias("doc_date"), "persons", "summary", "matter_id")))
+    a = docs.select("id", analysis.payload(said).alias("a")).filter("a is not null").select("id", "a.*")
+    return a.select("id", "title", "doc_type", "doc_date", joined("persons"), "summary", "matter_id")
+
+
+def sql_noise() -> str:
+    words = "len(regexp_extract_all(t, '[A-Za-zÀ-ÿ0-9]+'))"
+    letters, vowels = "length(regexp_replace(t, '[^\\p{L}]', '', 'g'))", "length(regexp_replace(lower(t), '[^aeiouyàâäéèêëîïôöùûüœ]', '', 'g'))"
+    return f"""with l as (select distinct id, unnest(string_split(coalesce(raw_text, text, ''), chr(10))) line from pages), c as (select id, line, conf, {S.readable('line')} t from l, (values (0.6::double), (0.72::double), (0.9::double)) v(conf))
+    select conf, count(*) lines, count(*) filter (where t = '' or (conf < 0.65 and {words} <= 1) or (conf < 0.75 and length(t) <= 4 and upper(t) = t and {letters} > 0 and not regexp_matches(t, '\\d')) or (conf < 0.7 and {sql_semantic('t')} < 0.25) or (conf < 0.7 and {letters} >= 5 and {vowels} / {letters}::double < 0.18)) noise from (select distinct * from c) group by conf"""
+
+
+@query(sql_noise())
+def ocr_noise(spark: SparkSession, root: str) -> DataFrame:
+    """How many lines of the pages an engine's segment filter would drop at three confidences."""
+    lines = load(spark, root, "pages").select("id", F.explode(F.split(F.coalesce("raw_text", "text", F.lit("")), "\n")).alias("line")).distinct()
+    each = lines.select("line", F.explode(F.array(*[F.lit(c) for c in (0.6, 0.72, 0.9)])).alias("conf"))
+    return each.groupBy("conf").agg(F.count("*").alias("lines"), F.count_if(ocr.segment_is_noise("line", "conf")).alias("noise"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,6 +34,7 @@ def session(app: str = "quillon", cores: str = "*", partitions: int = 8, **extra
 
 
 _SHIPPED: set[str] = set()
+_STAGED: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,23 +64,35 @@ def shared_dir(spark: SparkSession) -> str:
     if not set_already:
         if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        set_already = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        folder = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        set_already = "file://" + folder
         spark.sparkContext.setCheckpointDir(set_already)
         spark.conf.set("spark.checkpoint.dir", set_already)
     return set_already
 
 
-def staged(df: DataFrame, name: str = "t") -> DataFrame:
+def staged(df: DataFrame, name: str = "t", *by: str) -> DataFrame:
     """Write df as a table into the shared folder and read it back.
 
     It cuts the lineage, survives the loss of executors, and lets several readers prune
-    columns of one result. An empty df keeps its schema.
+    columns of one result. An empty df keeps its schema. `by` are columns to partition the files by.
     """
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
+    writer = df.repartition(*by).write.partitionBy(*by) if by else df.write
+    writer.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that staged() has written in this application; what reads from them must be done with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; it counts no further than needed."""
     return df.limit(rows + 1).count() <= rows
@@ -88,6 +103,17 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def spread_join(rows: DataFrame, side: DataFrame, on: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined (inner or left) with a side of one row per key: broadcast if it is measured to be small, else shuffled
+    by key and a hash of the column `by`, so that a key that a third of the rows have is spread over `salts` tasks."""
+    if small_enough(side):
+        return rows.join(F.broadcast(side), on, how)
+    spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Null keys get salts without bound: they find nothing, and do not meet.
+    salt = F.when(F.col(on).isNull(), F.xxhash64(by).cast("int")).otherwise(F.pmod(F.hash(by), F.lit(salts)))
+    return rows.withColumn("_salt", salt).join(spread, [on, "_salt"], how).drop("_salt")
+
+
 def latest_by_id(df: DataFrame, key: str = "id", order: str = "created_at") -> DataFrame:
     """One row per key, of the greatest order value: delivered twice counts once.
 

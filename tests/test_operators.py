@@ -309,3 +309,51 @@ def test_a_model_beside_the_rules(spark, monkeypatch):
     got = {r["id"]: r["analysis"] for r in analysis.analyse_with_model(docs, matters, "fake").collect()}
     assert (got["1"]["title"], got["1"]["persons"], got["1"]["matter_id"], got["1"]["method"], got["1"]["confidence"], got["1"]["doc_date"]) == ("Titre", ["A"], "m1", "fake", 0.9, None)
     assert got["2"]["method"] == got["3"]["method"] == "local-rules" and analysis.analyse_with_model(docs, matters, "off").filter("analysis.method <> 'local-rules'").count() == 0
+
+
+# --- joins and staging ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join(spark, monkeypatch, how):
+    from quillon import runtime
+
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 4 else f"k{i}") for i in range(80)], "id int, k string")
+    side = spark.createDataFrame([("hot", 1), ("k0", 2), ("other", 3)], "k string, v int")
+    want = sorted(map(tuple, rows.join(side, "k", how).collect()), key=str)
+    monkeypatch.setattr(runtime, "small_enough", lambda df: False)
+    assert sorted(map(tuple, runtime.spread_join(rows, side, "k", "id", how, salts=3).collect()), key=str) == want
+
+
+def test_staged_tables_are_cleaned(spark):
+    import os
+
+    from quillon import runtime
+
+    path = staged(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    before, runtime._STAGED[:] = runtime._STAGED[:-1], runtime._STAGED[-1:]
+    runtime.clean(spark)
+    assert not os.path.exists(path)
+    runtime._STAGED[:] = before
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from quillon import runtime
+
+    unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(fake)
+
+
+def test_search_over_postings_is_the_same(spark, seed):
+    index = staged(search.postings(seed, 4), "postings", "bucket")
+    rights = access.Rights(("c1",), ("m1",))
+    for query in ("morsure de chien", "attaque de chien ayant", "zzz", "", "de la"):
+        want = search.search(seed, query, rights).collect()
+        assert search.search_postings(index, seed, query, rights, buckets=4).collect() == want
+    assert search.search_postings(index, seed, "chien", access.Rights(), buckets=4).count() == 0
+    assert search.search_postings(index.limit(0), seed, "chien", rights, buckets=4).count() == 0
