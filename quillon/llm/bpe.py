@@ -128,6 +128,14 @@ def merge_words(words: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.nda
     return sym[kept[~is_end]].astype(np.int32), counts
 
 
+def appended(held: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """held with new values behind the used ones; twice as long where they do not fit."""
+    if used + len(new) > len(held):
+        held = np.concatenate([held[:used], np.zeros(max(used, len(new)) + len(new), held.dtype)])
+    held[used : used + len(new)] = new
+    return held
+
+
 class Encoder:
     """Encodes lists of texts; keeps the ids of the words it has met."""
 
@@ -140,15 +148,17 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.int32)  # the three grow by doubling; what is used of them is counted
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.used_flat = self.used = 0
 
     def _learn(self, new: list[str]) -> None:
         flat, count = merge_words([w.encode("utf-8", "surrogatepass") for w in new], self.voc)
-        self.start = np.r_[self.start, len(self.flat) + np.cumsum(count) - count]
-        self.count = np.r_[self.count, count]
-        self.flat = np.concatenate([self.flat, flat])
+        self.start = appended(self.start, self.used, self.used_flat + np.cumsum(count) - count)
+        self.count = appended(self.count, self.used, count)
+        self.flat = appended(self.flat, self.used_flat, flat)
+        self.used, self.used_flat = self.used + len(count), self.used_flat + len(flat)
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and how many each text has."""

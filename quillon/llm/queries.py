@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, hilbert, names, near, packing, personal, scans, subjects, truncation
-from quillon.runtime import load, staged
+from quillon.operators.orphans import key_of
+from quillon.runtime import load, spread_join, staged
 
 
 def _cut(spark: SparkSession, root: str) -> DataFrame:
@@ -24,13 +25,10 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_sources(spark: SparkSession, root: str) -> DataFrame:
     """(source, field_name, records, cut, share) of every intake channel; unfiled sources are null."""
-    from quillon.operators.orphans import key_of
-
     documents = load(spark, root, "documents").select("id", "source", "summary").distinct()
     sources = documents.groupBy(key_of("id").alias("key")).agg(F.min("source").alias("source"))
     pages = load(spark, root, "pages").filter(F.trim("text") != "").select(F.col("id").alias("record_id"), key_of("document_id").alias("key")).distinct()
-    apart = F.coalesce("key", F.concat(F.lit("\x00"), "record_id"))  # null keys do not meet in one task
-    of_page = pages.withColumn("key", apart).join(sources, "key", "left").select(F.lit("pages.text").alias("field_name"), "record_id", "source")
+    of_page = spread_join(pages, sources, "key", "record_id", "left").select(F.lit("pages.text").alias("field_name"), "record_id", "source")
     of_summary = documents.filter(F.trim("summary") != "").select(F.lit("documents.summary").alias("field_name"), F.col("id").alias("record_id"), "source")
     all_ = of_page.unionByName(of_summary).join(_cut(spark, root), ["field_name", "record_id"], "left")
     n = all_.groupBy("source", "field_name").agg(F.count("*").alias("records"), F.count("evidence").alias("cut"))
@@ -39,12 +37,9 @@ def p1_sources(spark: SparkSession, root: str) -> DataFrame:
 
 def _scans(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Pages of documents that needed OCR; a page without document is one if its raw text has lines."""
-    from quillon.operators.orphans import key_of
-    from quillon.runtime import checked_broadcast
-
     pages = load(spark, root, "pages").select("id", "document_id", "page_number", "text", "raw_text")
     ocr = load(spark, root, "documents").filter("id is not null").groupBy(key_of("id").alias("_key")).agg(F.max("ocr_required").alias("_ocr"))
-    joined = pages.withColumn("_key", key_of("document_id")).join(checked_broadcast(ocr, 200_000), "_key", "left").drop("_key")
+    joined = spread_join(pages.withColumn("_key", key_of("document_id")), ocr, "_key", "id", "left").drop("_key")
     scanned = F.coalesce("_ocr", F.contains("raw_text", F.lit("\n")), F.lit(False))
     return scans.analyse(joined, scanned)
 
@@ -165,12 +160,20 @@ def _alike_sql(field: str, shingles: str) -> str:
     select a, b from c join n p on p.id = a join n q on q.id = b where c >= 0.6 * (p.n + q.n - c) - 1e-9)"""
 
 
+def _groups_sql(shingles: str) -> str:
+    """Classes of equal sets of shingles, their links, and the groups that the links make."""
+    return f"""with recursive s as ({shingles}), k as (select id, string_agg(s, '|' order by s) c from s group by id), reps as (select c, min(id) rep, count(*) copies from k group by c),
+    t as (select s.id, s.s from s where id in (select rep from reps)), n as (select id, count(*) n from t group by 1), c as (select x.id a, y.id b, count(*) c from t x join t y on x.s = y.s and x.id <> y.id group by 1, 2),
+    e as (select a, b from c join n p on p.id = a join n q on q.id = b where c >= 0.6 * (p.n + q.n - c) - 1e-9), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+    select k.id, least(rep, coalesce(g.least, rep)) group_id, copies, coalesce(l.links, 0) links from k join reps using (c) left join (select a, min(b) least from r group by a) g on g.a = rep left join (select a, count(*) links from e group by a) l on l.a = rep"""
+
+
 NEAR_SQL = """with v as (select distinct on (id) id, embedding e from pages where len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null), true) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 order by id),
 u as (select id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from v),
-p as (select a.id a, b.id b, row_number() over (partition by a.id order by round(list_inner_product(a.e, b.e), 6) desc, b.id) r from u a join u b on a.id <> b.id)
-select distinct least(a, b) page_id_a, greatest(a, b) page_id_b from p where r <= 5"""
+p as (select a.id a, b.id b, row_number() over (partition by a.id order by round(list_inner_product(a.e, b.e), 6) desc, b.id) r from u a join u b on a.id <> b.id)"""
+PAIRS = " select distinct least(a, b) page_id_a, greatest(a, b) page_id_b from p where r <= 5"
 
 
 def oracle_sql() -> dict[str, str]:
     """Exact SQL where the whole tables allow it; the other queries are tested against brute force or libraries."""
-    return {"p3_found": _alike_sql("pages.text", SHINGLES_SQL) + " union all " + _alike_sql("documents.filename", NAMES_SQL), "p5_found": NEAR_SQL}
+    return {"p3_found": _alike_sql("pages.text", SHINGLES_SQL) + " union all " + _alike_sql("documents.filename", NAMES_SQL), "p3_page_groups": _groups_sql(SHINGLES_SQL), "p3_document_groups": _groups_sql(NAMES_SQL), "p5_found": NEAR_SQL + PAIRS, "p5_neighbours": NEAR_SQL + " select a page_id, r as rank, b neighbour_id from p where r <= 5"}

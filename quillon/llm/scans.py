@@ -72,14 +72,14 @@ def edges(lines: DataFrame) -> DataFrame:
     at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.regexp_like(F.get("lines", i), F.lit(r"\S")))
     df = lines.withColumn("at", at).withColumn("near", F.array_distinct(F.concat(F.slice("at", 1, 2), F.slice(F.reverse("at"), 1, 2))))
     numbers = F.filter(F.transform("near", lambda i: F.struct(i.alias("place"), F.regexp_extract(F.get("lines", i), NUMBER_LINE, 1).try_cast("int").alias("value"))), lambda x: x["value"].isNotNull())
-    df = df.withColumn("numbers", numbers)
+    df = staged(df.withColumn("numbers", numbers).drop("near"), "lines")  # read twice: for sequences and for what follows
     own = lambda x: F.col("page_number").isNull() | (x["value"] == F.col("page_number"))
     odd = df.select("id", "document_id", "page_number", F.filter("numbers", lambda x: ~own(x)).alias("odd")).filter("size(odd) > 0")
     counted = checked_broadcast(staged(number_sequences(odd), "sequences"))
     none = F.array().cast("array<int>")
     df = df.join(counted, "id", "left").withColumn("number_at", F.array_union(F.transform(F.filter("numbers", own), lambda x: x["place"]), F.coalesce("counted_at", none)))
     free = F.array_except("at", "number_at")
-    return df.withColumn("free", free).withColumn("top", F.get("free", F.lit(0))).withColumn("foot", F.when(F.size("free") > 1, F.element_at("free", -1))).drop("near", "free", "at", "numbers", "counted_at")
+    return df.withColumn("free", free).withColumn("top", F.get("free", F.lit(0))).withColumn("foot", F.when(F.size("free") > 1, F.element_at("free", -1))).drop("free", "at", "numbers", "counted_at")
 
 
 def alike_forms(singles: DataFrame, others: DataFrame) -> DataFrame:
