@@ -227,8 +227,8 @@ def alerts_newest(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     f"""with f as (select id, regexp_replace(coalesce(text, ''), '--- Page \\d+ ---\\n', chr(12), 'g') t from documents),
-    p as (select id, list_filter(list_transform(string_split(t, chr(12)), lambda x: {S.strip('x')}), lambda x: x <> '') parts from f), u as (select id, unnest(parts) part from p),
-    c as (select id, {S.readable('part')} t from u), q as (select id, {SPLIT[1]} confidence from c), m as (select id, count(*) n, round(avg(confidence), 3) mean, avg(confidence) exact from q where confidence >= 0.45 group by id)
+    p as (select id, list_filter(list_transform(string_split(t, chr(12)), lambda x: {S.strip('x')}), lambda x: x <> '') parts from f), u as (select id, unnest(parts) part, generate_subscripts(parts, 1) pos from p),
+    c as (select id, pos, {S.readable('part')} t from u), q as (select id, pos, {SPLIT[1]} confidence from c), l as (select id, count(*) n, list_reduce(list_concat([0.0::double], list(confidence order by pos)), lambda a, b: a + b) total from q where confidence >= 0.45 group by id), m as (select id, n, round(total / n, 3) mean, total / n exact from l)
     select f.id, case when n is null then 'ocr_pending' when exact >= 0.75 then 'indexed' else 'low_quality' end status, case when n is null then 'unknown' when exact >= 0.75 then 'good' else 'low' end quality,
     coalesce(mean, 0.0) confidence, greatest(coalesce(n, 0), 1)::bigint page_count, n is null ocr_required, case when n is null then 'no text layer; OCR required' else '' end message from f left join m using (id)"""
 )
@@ -313,7 +313,7 @@ def created_records(spark: SparkSession, root: str) -> DataFrame:
 @query(
     f"""with a as (select id, case when text is null then 'no answer' else '{{' || '"title": ' || to_json(title) || ', "doc_type": ' || to_json(type) || ', "doc_date": ' || to_json(document_date::varchar) || ', "persons": ' || to_json(persons) || ', "summary": ' || to_json(summary) || ', "matter_id": ' || to_json(matter_id) || '}}' end said, title, type, document_date, persons, summary, matter_id, text from documents)
     select id, {S.strip("coalesce(title, '')")}[1:140] title, {S.strip("coalesce(type, '')")}[1:80] doc_type, case when document_date::varchar similar to '(19|20)\\d{{2}}-[01]\\d-[0-3]\\d' then document_date end doc_date,
-    array_to_string((select list(v order by pos) from (select v, min(pos) pos from (select {S.strip('v')} v, pos from (select unnest(coalesce(persons, [])) v, generate_subscripts(coalesce(persons, []), 1) pos)) where v <> '' group by v))[1:12], '; ') persons,
+    coalesce(array_to_string((select list(v order by pos) from (select v, min(pos) pos from (select {S.strip('v')} v, pos from (select unnest(coalesce(persons, [])) v, generate_subscripts(coalesce(persons, []), 1) pos)) where v <> '' group by v))[1:12], '; '), '') persons,
     {S.strip("coalesce(summary, '')")}[1:900] summary, nullif(matter_id, '') matter_id from a where text is not null"""
 )
 def model_answers(spark: SparkSession, root: str) -> DataFrame:
