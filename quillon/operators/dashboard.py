@@ -37,6 +37,15 @@ def newest(table: DataFrame, k: int, order: str = "created_at", tie: str = "id")
     return table.orderBy(F.col(order).desc_nulls_last(), F.col(tie)).limit(k)
 
 
+def public_state(tables: dict[str, DataFrame], user_id: str, audited: int = 25) -> dict[str, DataFrame]:
+    """The parts of the overview: counts, clients, matters, documents and alerts newest first, tasks by due date, the newest audit rows, the user."""
+    by_date = lambda t: tables[t].orderBy(F.col("created_at").desc_nulls_last(), "id")
+    return {
+        "stats": counts(tables), "clients": tables["clients"], "matters": tables["matters"], "documents": by_date("documents"), "tasks": tasks_by_due(tables["tasks"]),
+        "alerts": by_date("alerts"), "audit_logs": newest(tables["audit_logs"], audited), "current_user": tables["users"].filter(F.col("id") == user_id),
+    }
+
+
 def tasks_by_due(tasks: DataFrame) -> DataFrame:
     """Tasks by due date, those without one first."""
     return tasks.orderBy(F.col("due_date").asc_nulls_first(), "id")

@@ -230,13 +230,13 @@ def alerts_newest(spark: SparkSession, root: str) -> DataFrame:
     p as (select id, list_filter(list_transform(string_split(t, chr(12)), lambda x: {S.strip('x')}), lambda x: x <> '') parts from f), u as (select id, unnest(parts) part, generate_subscripts(parts, 1) pos from p),
     c as (select id, pos, {S.readable('part')} t from u), q as (select id, pos, {SPLIT[1]} confidence from c), l as (select id, count(*) n, list_reduce(list_concat([0.0::double], list(confidence order by pos)), lambda a, b: a + b) total from q where confidence >= 0.45 group by id), m as (select id, n, round(total / n, 3) mean, total / n exact from l)
     select f.id, case when n is null then 'ocr_pending' when exact >= 0.75 then 'indexed' else 'low_quality' end status, case when n is null then 'unknown' when exact >= 0.75 then 'good' else 'low' end quality,
-    coalesce(mean, 0.0) confidence, greatest(coalesce(n, 0), 1)::bigint page_count, n is null ocr_required, case when n is null then 'no text layer; OCR required' else '' end message from f left join m using (id)"""
+    round(coalesce(mean, 0.0), 2) confidence, greatest(coalesce(n, 0), 1)::bigint page_count, n is null ocr_required, case when n is null then 'no text layer; OCR required' else '' end message from f left join m using (id)"""
 )
 def pdf_documents(spark: SparkSession, root: str) -> DataFrame:
     """Documents' texts as the text layers of PDF files: pages, mean confidence, status."""
     fed = F.regexp_replace(F.coalesce("text", F.lit("")), r"--- Page \d+ ---\n", "\f")
     d = load(spark, root, "documents").select("id", fed.alias("layer"), F.lit("a.pdf").alias("path"), F.lit("application/pdf").alias("mime_type"), F.lit(b"").alias("content"))
-    return files.extract(d, "layer").select("id", "status", "quality", "confidence", F.col("page_count").cast("bigint").alias("page_count"), "ocr_required", "message")
+    return files.extract(d, "layer").select("id", "status", "quality", F.round("confidence", 2).alias("confidence"), F.col("page_count").cast("bigint").alias("page_count"), "ocr_required", "message")
 
 
 #: A PDF's bytes as they hold literal strings: the sentences of a text in brackets, plain ASCII, and a page object for each page.

@@ -110,7 +110,7 @@ def spread_join(rows: DataFrame, side: DataFrame, on: str, by: str, how: str = "
         return rows.join(F.broadcast(side), on, how)
     spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # Null keys get salts without bound: they find nothing, and do not meet.
-    salt = F.when(F.col(on).isNull(), F.xxhash64(by).cast("int")).otherwise(F.pmod(F.hash(by), F.lit(salts)))
+    salt = F.when(F.col(on).isNull(), F.hash(by)).otherwise(F.pmod(F.hash(by), F.lit(salts)))
     return rows.withColumn("_salt", salt).join(spread, [on, "_salt"], how).drop("_salt")
 
 

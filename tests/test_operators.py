@@ -357,3 +357,11 @@ def test_search_over_postings_is_the_same(spark, seed):
         assert search.search_postings(index, seed, query, rights, buckets=4).collect() == want
     assert search.search_postings(index, seed, "chien", access.Rights(), buckets=4).count() == 0
     assert search.search_postings(index.limit(0), seed, "chien", rights, buckets=4).count() == 0
+
+
+def test_public_state(spark):
+    row = lambda *cols: spark.createDataFrame([("a", "open", T0), ("b", "done", dt.datetime(2021, 1, 1)), ("c", "indexed", None)], "id string, status string, created_at timestamp").withColumns({c: F.lit(None).cast("string") for c in cols})
+    tables = {t: row() for t in ("clients", "matters", "users", "alerts", "audit_logs")} | {"documents": row("analysis_method"), "tasks": row("due_date"), "pages": row().withColumn("embedding", F.array(F.lit(1.0)))}
+    state = dashboard.public_state(tables, "b", 2)
+    assert [r["id"] for r in state["documents"].collect()] == ["b", "a", "c"] and [r["id"] for r in state["audit_logs"].collect()] == ["b", "a"]
+    assert state["current_user"].count() == 1 and state["stats"].head()["open_tasks"] == 1 and state["stats"].head()["semantic_pages"] == 3
