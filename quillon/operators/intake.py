@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import analysis, store
 from quillon.runtime import staged
-from quillon.sources import files, providers
+from quillon.sources import engines, files, providers
 
 #: What extraction says of a document.
 EXTRACTED = ("status", "has_text_layer", "ocr_required", "quality", "confidence", "page_count", "message")
@@ -49,9 +49,10 @@ def analysed(documents: DataFrame, matters: DataFrame) -> DataFrame:
     return analysis.sync_client(found, matters).select(*documents.columns).unionByName(unread)
 
 
-def _with_pages(documents: DataFrame, matters: DataFrame, provider: str, extracted: str | None) -> tuple[DataFrame, DataFrame]:
+def _with_pages(documents: DataFrame, matters: DataFrame, provider: str, extracted: str | None, ocr: list[str]) -> tuple[DataFrame, DataFrame]:
     """(documents with text and extraction, analysed; their page rows)."""
-    read = staged(files.extract(documents, extracted).drop("content"), "extracted")
+    read = engines.read_waiting(staged(files.extract(documents, extracted), "extracted"), ocr) if ocr else files.extract(documents, extracted)
+    read = staged(read.drop("content"), "read")
     done = analysed(read.withColumn("text", F.when(F.size("pages") > 0, text_of(F.col("pages")))), matters)
     pages = store.page_records(read.select("id", "pages", F.col("updated_at").alias("created_at")))
     return done.drop("pages", "text"), providers.embed(pages.drop("embedding"), "text", provider)
@@ -63,24 +64,25 @@ def audited(documents: DataFrame, actor: str, action: str) -> DataFrame:
     return rows
 
 
-def intake(uploads: DataFrame, matters: DataFrame, actor: str, provider: str = "off", extracted: str | None = None) -> dict[str, DataFrame]:
+def intake(uploads: DataFrame, matters: DataFrame, actor: str, provider: str = "off", extracted: str | None = None, ocr: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The new rows of documents, pages, alerts and audit_logs for uploads, see uploaded().
 
     Files without text get no pages and no analysis; documents that need attention raise an alert. Null
-    contents are empty files. `extracted` names a column with text that an outside tool took from a PDF.
+    contents are empty files. `extracted` names a column with text that an outside tool took from a PDF, `ocr`
+    the recognition engines to run on images and scanned pages, see engines.selected().
     """
-    documents, pages = _with_pages(uploaded(uploads), matters, provider, extracted)
+    documents, pages = _with_pages(uploaded(uploads), matters, provider, extracted, list(ocr))
     documents = staged(documents.drop("path"), "documents")
     return {"documents": documents, "pages": pages, "alerts": store.alerts(documents), "audit_logs": audited(documents, actor, "upload")}
 
 
-def reprocess(documents: DataFrame, pages: DataFrame, contents: DataFrame, matters: DataFrame, actor: str, at: Column, provider: str = "off", extracted: str | None = None) -> dict[str, DataFrame]:
+def reprocess(documents: DataFrame, pages: DataFrame, contents: DataFrame, matters: DataFrame, actor: str, at: Column, provider: str = "off", extracted: str | None = None, ocr: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """documents and pages with those of contents (id, content[, text layer]) extracted and analysed anew, and the audit rows of that.
 
     A locked document keeps its matter; no alert is raised. Contents of unknown documents are left out.
     """
     again = documents.drop(*EXTRACTED).join(contents, "id").withColumns({"path": F.coalesce("filename", F.lit("")), "updated_at": at})
-    done, fresh = _with_pages(again, matters, provider, extracted)
+    done, fresh = _with_pages(again, matters, provider, extracted, list(ocr))
     done = staged(done.select(*documents.columns), "documents")
     old = documents.join(done.select("id"), "id", "left_anti").select(*documents.columns)
     return {

@@ -191,19 +191,57 @@ def best_of(words: DataFrame, again: Callable[[DataFrame], DataFrame]) -> DataFr
     return ocr.best_candidate(first.unionByName(second))
 
 
-def read_pending(documents: DataFrame, names: list[str]) -> DataFrame:
-    """Extracted documents (id, content, status, pages, ...) with those that wait for recognition read, one page each.
+def render_pages(documents: DataFrame, dpi: int = 220) -> DataFrame:
+    """(id, page_number, content) of documents (id, path, mime_type, content): an image is its only page, a PDF's pages are drawn
+    where the program for it is there. Files that it can't read have no pages."""
+    kinds = documents.select("id", "content", files.route("path", "mime_type").alias("kind"), files.pdf_page_estimate("content").alias("pages")).filter("kind in ('image', 'pdf') and content is not null")
+    program = shutil.which("pdftoppm")
 
-    A document on which nothing is found stays as it is. Pages of scanned PDFs come as images of their own,
-    rendered outside; their rows are joined by document beforehand.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, content, kind, pages in zip(b["id"], b["content"], b["kind"], b["pages"]):
+                drawn = [(i, 1, bytes(content))] if kind == "image" else []
+                for n in range(1, pages + 1) if kind == "pdf" and program else ():
+                    one = subprocess.run([program, "-r", str(dpi), "-png", "-f", str(n), "-l", str(n), "-", "-"], input=bytes(content), capture_output=True, timeout=120)
+                    if one.returncode or not one.stdout:
+                        break
+                    drawn.append((i, n, one.stdout))
+                yield pd.DataFrame(drawn, columns=["id", "page_number", "content"])
+
+    return kinds.mapInPandas(run, "id string, page_number int, content binary")
+
+
+# What is said of documents on which recognition found nothing to rely on.
+UNRELIABLE = {"image": "OCR execute mais le texte extrait n'est pas assez fiable pour etre indexe.", "pdf": "OCR execute mais aucun texte fiable n'a ete extrait. Verifier la qualite du scan."}
+
+
+def read_waiting(documents: DataFrame, names: list[str], images: DataFrame | None = None) -> DataFrame:
+    """Extracted documents (id, path, mime_type, content, status, pages, ...) with those that wait for recognition read.
+
+    `images` are their pages (id, page_number, content), by default those of render_pages(). Pages whose text is
+    not to be relied on are left out; a document without any page to rely on has low quality and no pages. Without
+    engines, and where no page could be drawn, a document goes on waiting.
     """
-    waiting = documents.filter("status = 'ocr_pending'").select(F.col("id").alias("image_id"), "content")
-    best = read_images(waiting, names).withColumn("message_", ocr.method_message())
-    page = F.array(F.struct(F.lit(1).alias("page_number"), F.substring("text_", 1, files.PAGE_CHARS).alias("text"), F.col("confidence_").alias("confidence"), F.col("quality_").alias("quality"), "raw_text"))
-    got = best.select(F.col("image_id").alias("id"), F.col("text").alias("text_"), F.col("confidence").alias("confidence_"), F.col("quality").alias("quality_"), "raw_text", "message_", F.lit(True).alias("read_"))
-    df = documents.join(got, "id", "left")
-    read = F.coalesce("read_", F.lit(False))
-    return df.withColumns({
-        "pages": F.when(read, page.cast(files.none_type())).otherwise(F.col("pages")), "status": F.when(read, F.when(F.col("quality_") == "low", "low_quality").otherwise("indexed")).otherwise(F.col("status")),
-        "quality": F.when(read, F.col("quality_")).otherwise(F.col("quality")), "confidence": F.when(read, F.col("confidence_")).otherwise(F.col("confidence")), "message": F.when(read, F.col("message_")).otherwise(F.col("message")),
-    }).select(*documents.columns)
+    if not names:
+        return documents
+    waiting = documents.filter("status = 'ocr_pending'")
+    images = staged(images if images is not None else render_pages(waiting), "images")
+    name = F.concat("id", F.lit("\x1f"), F.col("page_number").cast("string"))
+    best = staged(read_images(images.select(name.alias("image_id"), "content"), names), "read")
+    of = best.select(F.split("image_id", "\x1f")[0].alias("id"), F.split("image_id", "\x1f")[1].cast("int").alias("page_number"), "*", ocr.meaningful().alias("fit"), ocr.method_message().alias("said"))
+    page = F.struct("page_number", F.substring("text", 1, files.PAGE_CHARS).alias("text"), "confidence", "quality", F.substring("raw_text", 1, files.PAGE_CHARS).alias("raw_text"), "said")
+    per = of.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("fit"), page))).alias("read"), F.max("confidence").alias("any"))
+    got = images.groupBy("id").agg(F.count("*").alias("drawn")).join(per, "id", "left").withColumns({"read": F.coalesce("read", F.array().cast(f"array<struct<{files.none_type()[13:-2]},said:string>>")), "any": F.coalesce("any", F.lit(0.0))})
+    df = documents.join(got, "id", "left").withColumn("kind", files.route("path", "mime_type"))
+    tried, found = (F.col("status") == "ocr_pending") & F.col("drawn").isNotNull(), F.size("read") > 0
+    mean = F.aggregate("read", F.lit(0.0), lambda a, p: a + p["confidence"]) / F.size("read")
+    quality = F.when(F.col("kind") == "image", F.col("read")[0]["quality"]).when(mean >= 0.72, "good").when(mean >= 0.45, "medium").otherwise("low")
+    told = F.array_join(F.transform(F.slice("read", 1, 2), lambda p: p["said"]), " ")
+    pages = F.transform("read", lambda p: F.struct(*[p[c].alias(c) for c in ("page_number", "text", "confidence", "quality", "raw_text")]))
+    unreliable = F.when(F.col("kind") == "image", UNRELIABLE["image"]).otherwise(UNRELIABLE["pdf"])
+    new = {
+        "status": F.when(found & ((F.col("kind") == "image") | (mean >= 0.45)), "indexed").otherwise("low_quality"), "quality": F.when(found, quality).otherwise("low"),
+        "confidence": F.when(found, F.round(mean, 3)).when(F.col("kind") == "image", F.col("any")).otherwise(0.0), "pages": pages, "message": F.when(found, told).otherwise(unreliable),
+        "page_count": F.greatest("page_count", "drawn").cast("int"),
+    }
+    return df.select(*[F.when(tried, new[c]).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c) if c in new else F.col(c) for c in documents.columns])

@@ -273,11 +273,18 @@ def test_recognition_in_two_stages(spark, fake_engines):
 
 
 def test_waiting_documents_are_read(spark, fake_engines):
-    up = spark.createDataFrame([("x.png", b"page", "image/png", None, None, "Auto", None, None, T0), ("y.png", b"no", "image/png", None, None, "Auto", None, None, T0)], UPLOAD)
-    read = engines.read_pending(files.extract(intake.uploaded(up)), ["tesseract"])
-    got = {r["filename"]: r for r in read.collect()}
+    row = lambda name, content, mime: (name, content, mime, None, None, "Auto", None, None, T0)
+    up = spark.createDataFrame([row("x.png", b"page", "image/png"), row("y.png", b"no", "image/png"), row("z.pdf", b"%PDF /Type /Page", ""), row("t.txt", b"Un texte.", "")], UPLOAD)
+    extracted = staged(files.extract(intake.uploaded(up)), "extracted")
+    got = {r["filename"]: r for r in engines.read_waiting(extracted, ["tesseract"]).collect()}
     assert got["x.png"]["status"] == "indexed" and got["x.png"]["message"] == "OCR applique avec Tesseract, mode 6, apres correction d'inclinaison 2 degres." and len(got["x.png"]["pages"]) == 1
-    assert got["y.png"]["status"] == "ocr_pending" and not got["y.png"]["pages"]
+    assert (got["y.png"]["status"], got["y.png"]["pages"], got["y.png"]["message"]) == ("low_quality", [], engines.UNRELIABLE["image"])
+    assert got["z.pdf"]["status"] == "ocr_pending" and got["t.txt"]["status"] == "indexed"  # no program draws PDF pages here
+    pdf = {r["filename"]: r["id"] for r in extracted.select("id", "filename").collect()}["z.pdf"]
+    drawn = spark.createDataFrame([(pdf, 1, b"page"), (pdf, 2, b"no"), (pdf, 3, b"page")], "id string, page_number int, content binary")
+    read = engines.read_waiting(extracted, ["tesseract"], drawn).filter("filename = 'z.pdf'").head()
+    assert (read["status"], [p["page_number"] for p in read["pages"]], read["page_count"], read["quality"]) == ("indexed", [1, 3], 3, "good")
+    assert engines.read_waiting(extracted, []).filter("status = 'ocr_pending'").count() == 3
 
 
 def test_engine_choice(fake_engines):
