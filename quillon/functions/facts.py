@@ -48,8 +48,7 @@ def doc_type(normal: Column, keywords: Column, rules: tuple[L.DocTypeRule, ...]
         if rule.name == "Facture d'energie":
             s = s + (said > 0).cast("int") * 10
         scores.append(F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(rule.name).alias("name")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] >= 2, best["name"])
+    return F.array_max(F.filter(F.array(*scores), lambda x: x["score"] >= 2))["name"]
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:

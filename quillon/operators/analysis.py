@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon import lexicons as L
 from quillon.functions import facts
 from quillon.functions import text as T
-from quillon.runtime import BROADCAST_ROWS, checked_broadcast, latest_by_id, staged
+from quillon.runtime import BROADCAST_ROWS, checked_broadcast, latest_by_id, once, staged
 from quillon.sources import providers
 
 
@@ -92,10 +92,10 @@ def analyse(documents: DataFrame, matters: DataFrame | None = None, rules: tuple
     A locked document keeps its matter with score 1. Null text is analysed as empty.
     """
     t = F.coalesce("text", F.lit(""))
-    base = documents.withColumns({"_text": t, "_normal": T.normalise(t)}).withColumn("_words", F.array_distinct(T.tokens("_text")))
-    base = base.withColumn("_keys", facts.keywords_in(F.col("_words"), rules))
-    base = base.withColumn("_kind", F.coalesce(facts.doc_type(F.col("_normal"), F.col("_keys"), rules), F.nullif(F.col("type"), F.lit("")), F.lit("Document")))
-    base = base.withColumns({"_day": F.coalesce(facts.text_date("_text"), F.col("document_date")), "_people": facts.persons("_text"), "_tags": facts.tags(F.col("_words"), F.col("_kind"))})
+    base = once(documents.withColumns({"_text": t, "_normal": T.normalise(t)}), _words=F.array_distinct(T.tokens("_text")))
+    base = once(base, _keys=facts.keywords_in(F.col("_words"), rules))
+    base = once(base, _kind= F.coalesce(facts.doc_type(F.col("_normal"), F.col("_keys"), rules), F.nullif(F.col("type"), F.lit("")), F.lit("Document")))
+    base = once(base, _day=F.coalesce(facts.text_date("_text"), F.col("document_date")), _people=facts.persons("_text"), _tags=facts.tags(F.col("_words"), F.col("_kind")))
     if matters is not None:
         base = staged(base, "analysed")  # read twice: for the matters' words and for the rest
         chosen = classify_matter(base.select("id", F.lower("_text").alias("low_text"), F.col("_words").alias("words"), F.col("_tags").alias("labels")), matters)

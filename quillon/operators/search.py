@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.vectors import cosine
 from quillon.operators.access import Filters, Rights
-from quillon.runtime import latest_by_id, spread_join
+from quillon.runtime import latest_by_id, once, spread_join
 
 TOP = 50
 #: A document's fields that are searched with each of its pages.
@@ -69,17 +69,18 @@ def search(tables: dict[str, DataFrame], query: str, rights: Rights, filters: Fi
     if not q:
         pages = pages.filter(F.lit(False))
     wide, phrase = T.expand(q), query.lower().strip()
-    hits = spread_join(pages, docs, "document_id", "page_id").withColumn("body", searchable())
+    hits = once(spread_join(pages, docs, "document_id", "page_id"), body=searchable())
     low = F.lower("body")
     any_ = F.contains(low, F.lit(phrase)) if phrase else F.lit(False)
     for w in wide:
         any_ = any_ | F.contains(low, F.lit(w))
-    hits = hits.withColumn("_any", any_)
+    hits = once(hits, _any=any_)
     if vector is None:
         hits = hits.filter("_any")
-    ranked = hits.withColumn("_tokens", F.when(F.col("_any"), T.tokens("body")).otherwise(F.array().cast("array<string>")))
-    for name, c in scores(F.col("body"), query, vector).items():
-        ranked = ranked.withColumn(name, c)
+    ranked = once(hits, _tokens=F.when(F.col("_any"), T.tokens("body")).otherwise(F.array().cast("array<string>")))
+    for names in (("exact_raw", "hint_raw", "bonus", "vector_raw"), ("semantic_raw",), ("score_raw",)):  # each reads those before
+        made = scores(F.col("body"), query, vector)
+        ranked = once(ranked, **{n: made[n] for n in names})
     slim = ranked.filter("score_raw > 0").select("page_id", "document_id", "page_number", "ordinal", F.round("score_raw", 4).alias("score"), F.round("exact_raw", 4).alias("exact_score"), F.round("semantic_raw", 4).alias("semantic_score"))
     row = F.struct("document_id", "page_number", "ordinal", "score", "exact_score", "semantic_score")
     best = slim.groupBy("page_id").agg(F.min_by(row, "ordinal").alias("r")).select("page_id", "r.*")

@@ -10,7 +10,7 @@ from quillon.functions import text as T
 from quillon.operators import access, analysis, dashboard, intake, store
 from quillon.plans import facts_sql as S
 from quillon.plans.catalog import USER, query, tables
-from quillon.runtime import load
+from quillon.runtime import load, once
 from quillon.sources import engines, files, ocr
 
 MOMENT = "2026-01-01 00:00:00"
@@ -37,7 +37,7 @@ def extract_persons(spark: SparkSession, root: str) -> DataFrame:
 @query(f"with w as (select doc_id id, list_distinct({S.tokens('text')}) w, {S.normal('coalesce(text, chr(32))')} n from documents) select id doc_id, found_type from {S.doc_types('w')}")
 def doc_types(spark: SparkSession, root: str) -> DataFrame:
     d = load(spark, root, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    d = d.select("doc_id", T.normalise("t").alias("n"), facts.keywords_in(F.array_distinct(T.tokens("t"))).alias("k"))
+    d = once(d.withColumn("n", T.normalise("t")), k=facts.keywords_in(F.array_distinct(T.tokens("t"))))
     return d.select("doc_id", facts.doc_type(F.col("n"), F.col("k")).alias("found_type"))
 
 

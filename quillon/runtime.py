@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; beyond it the join is shuffled.
@@ -93,6 +93,15 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once per row, however many others or filters read them.
+
+    A filter on a computed column moves below it and repeats what it is made of; through a generator it does not.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("_once", made).select(*[c for c in df.columns if c not in columns], "_once.*")
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; it counts no further than needed."""
     return df.limit(rows + 1).count() <= rows
