@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon import lexicons as L
 from quillon.functions import facts
 from quillon.functions import text as T
+from quillon.operators.matters import finder, least_score, name_tree
 from quillon.runtime import BROADCAST_ROWS, checked_broadcast, latest_by_id, once, staged
 from quillon.sources import providers
 
@@ -44,15 +45,10 @@ def named_in(docs: DataFrame, names: DataFrame, block: int = BROADCAST_ROWS) ->
         sent = docs.sparkSession.sparkContext.broadcast([(r["matter_id"], r["name"]) for r in rows])
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
             ids: dict[str, list[str]] = {}
             for m, n in sent.value:
                 ids.setdefault(n, []).append(m)
-            tree = ahocorasick.Automaton()
-            for n, m in ids.items():
-                tree.add_word(n, m)
-            tree.make_automaton()
+            tree = name_tree(ids)
             for b in batches:
                 found = [(d, f, m) for d, f, t in zip(b["id"], b["fiscal"], b["low_text"]) if ids for m in dict.fromkeys(m for _, group in tree.iter(t) for m in group)]
                 yield pd.DataFrame(found, columns=["id", "fiscal", "matter_id"])
@@ -66,24 +62,12 @@ def classify_matter(docs: DataFrame, matters: DataFrame) -> DataFrame:
     """(id, matter_id, matter_score) of documents (id, low_text, words, labels) that reach the threshold.
 
     The share of a matter's words (with hints) that the document has, and 0.35 if it names the matter.
-    Documents and matters meet through an inverted index of words and through whole names, not pair by
-    pair. Ties go to the matter stored first (created_at), then to the greater id.
+    Each document meets an index of words and whole names in its own row, see matters.MatterIndex. Ties
+    go to the matter stored first (created_at), then to the greater id.
     """
-    first = matters.groupBy("id").agg(F.min_by(F.struct("name", "responsible", "created_at"), F.struct("created_at", "name", "responsible")).alias("m")).select(F.col("id").alias("matter_id"), "m.*")
-    own = T.tokens(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("responsible", F.lit(""))))
-    hints = F.create_map(*[x for k, v in L.MATTER_HINTS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    wide = first.withColumn("_own", F.array_distinct(own)).withColumn("_all", F.array_distinct(F.concat("_own", F.flatten(F.transform("_own", lambda w: F.coalesce(F.element_at(hints, w), F.array().cast("array<string>")))))))
-    index = wide.select("matter_id", F.explode("_all").alias("_word"))
-    about = docs.withColumn("fiscal", F.array_contains("labels", "fiscal"))
-    said = about.select("id", "fiscal", F.explode(F.array_distinct(F.concat("words", "labels"))).alias("_word"))
-    hits = said.join(checked_broadcast(index), "_word").select("id", "fiscal", "matter_id", F.lit(1).alias("hit"), F.lit(0).alias("named"))
-    names = wide.select("matter_id", F.lower(F.coalesce("name", F.lit(""))).alias("name"))
-    named = named_in(about, names).select("id", "fiscal", "matter_id", F.lit(0).alias("hit"), F.lit(1).alias("named"))
-    both = hits.unionByName(named).groupBy("id", "matter_id").agg(F.sum("hit").alias("hits"), F.max("named").alias("named"), F.first("fiscal").alias("fiscal"))
-    sizes = wide.select("matter_id", "created_at", F.size("_all").alias("size"))
-    full = both.join(checked_broadcast(sizes), "matter_id").withColumn("s", F.col("hits") / F.greatest("size", F.lit(1)) + F.when(F.col("named") == 1, 0.35).otherwise(0.0))
-    best = F.max_by(F.struct("matter_id", F.col("s").alias("matter_score"), "fiscal"), F.struct("s", (-F.unix_micros("created_at")).alias("c"), "matter_id"))
-    return full.groupBy("id").agg(best.alias("b")).select("id", "b.*").filter("matter_score >= case when fiscal then 0.22 else 0.14 end").drop("fiscal")
+    best = once(docs, m=finder(matters)(F.col("low_text"), F.concat("words", "labels"))).select("id", least_score(F.col("labels")).alias("least"), "m.*").filter("matter_id is not null")
+    order = F.struct("matter_score", (-F.col("since")).alias("age"), "matter_id")
+    return best.groupBy("id").agg(F.max_by(F.struct("matter_id", "matter_score", "least"), order).alias("b")).select("id", "b.*").filter("matter_score >= least").drop("least")
 
 
 def analyse(documents: DataFrame, matters: DataFrame | None = None, rules: tuple[L.DocTypeRule, ...] = L.DOC_TYPE_RULES) -> DataFrame:

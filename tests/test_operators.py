@@ -1,11 +1,14 @@
 """Search, rights, sources, store and orphans on small tables."""
 
 import datetime as dt
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import access, analysis, dashboard, intake, orphans, search, store
+from quillon.operators import matters as matters_of
 from quillon.runtime import staged
 from quillon.sources import engines, files, ocr, providers
 
@@ -207,6 +210,39 @@ def test_names_without_own_words_are_found(spark):
     assert sorted(r["matter_id"] for r in found.collect()) == [f"m{i}" for i in range(5)]
 
 
+def test_best_matter_against_every_pair(spark, monkeypatch):
+    """Rare and common words, groups, names, ties, nulls and several blocks against a count of every pair."""
+    rng = random.Random(5)
+    words = [f"mot{i}" for i in range(40)]
+    some = lambda n: [words[min(int(rng.expovariate(0.12)), 39)] for _ in range(n)]
+    matters = [(f"m{i:03d}", "c", " ".join(some(rng.randint(0, 4))) or None, rng.choice([None, *words[:3]]), rng.choice([None, T0, T0 + dt.timedelta(rng.randint(0, 9))])) for i in range(150)]
+    docs = []
+    for i in range(120):
+        t = " ".join(some(rng.randint(0, 9)))
+        docs.append((i, t, list(dict.fromkeys(t.split())), rng.choice([[], ["fiscal"]])))
+    want = {}
+    for d, t, w, g in docs:
+        best = []
+        for m, _, name, who, at in matters:
+            own = set(f"{name or ''} {who or ''}".split())
+            hits = len(own & {*w, *g})
+            named = bool(name) and name in t
+            if hits or named:
+                best.append((hits / max(len(own), 1) + (0.35 if named else 0.0), float("-inf") if at is None else -at.timestamp(), m))
+        if best and max(best)[0] >= (0.22 if g else 0.14):
+            want[d] = (max(best)[2], max(best)[0])
+    rows = spark.createDataFrame(docs, "id int, low_text string, words array<string>, labels array<string>")
+    table = spark.createDataFrame(matters, MATTERS)
+    best = lambda block: rows.select("id", matters_of.finder(table, block)(F.col("low_text"), F.concat("words", "labels")).alias("b"), "labels").select("id", "b.*", matters_of.least_score(F.col("labels")).alias("least")).filter("matter_score >= least")
+    assert {r["id"]: (r["matter_id"], r["matter_score"]) for r in analysis.classify_matter(rows, table).collect()} == want
+    assert {r["id"]: (r["matter_id"], r["matter_score"]) for r in best(20).collect()} == want
+    packed = matters_of.matter_words(table).toArrow()
+    for common in (0, 3, 10):
+        index = matters_of.MatterIndex(packed, common)
+        got = list(index.best_of(pa.array([d[1] for d in docs]), pa.array([d[2] + d[3] for d in docs], pa.list_(pa.string()))))
+        assert {d[0]: (b[2], b[0]) for d, b in zip(docs, got) if b and b[0] >= (0.22 if d[3] else 0.14)} == want
+
+
 def test_intake(spark):
     text = "Facture n 12 du 8 février 2019, total ttc 120 euros. Client Jean DUPONT. Le litige Morsure de chien avance bien."
     rows = [("a b.txt", text.encode(), "text/plain", None, None, "Auto", None, None, T0), ("x.png", b"1", "image/png", None, "m1", "Note", "R", None, T0), ("y.zip", None, None, "c9", None, None, None, None, T0), ("z.txt", b" ", "", None, None, "Auto", None, None, T0)]
@@ -323,8 +359,7 @@ def test_a_model_beside_the_rules(spark, monkeypatch):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join(spark, monkeypatch, how):
-    from quillon import runtime
-
+    
     rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 4 else f"k{i}") for i in range(80)], "id int, k string")
     side = spark.createDataFrame([("hot", 1), ("k0", 2), ("other", 3)], "k string, v int")
     want = sorted(map(tuple, rows.join(side, "k", how).collect()), key=str)
@@ -335,8 +370,7 @@ def test_spread_join(spark, monkeypatch, how):
 def test_staged_tables_are_cleaned(spark):
     import os
 
-    from quillon import runtime
-
+    
     path = staged(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path)
     before, runtime._STAGED[:] = runtime._STAGED[:-1], runtime._STAGED[-1:]
@@ -348,8 +382,7 @@ def test_staged_tables_are_cleaned(spark):
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace
 
-    from quillon import runtime
-
+    
     unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: unset)))
     with pytest.raises(RuntimeError):
