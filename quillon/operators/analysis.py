@@ -81,9 +81,9 @@ def analyse(documents: DataFrame, matters: DataFrame | None = None, rules: tuple
     base = once(base, _kind= F.coalesce(facts.doc_type(F.col("_normal"), F.col("_keys"), rules), F.nullif(F.col("type"), F.lit("")), F.lit("Document")))
     base = once(base, _day=F.coalesce(facts.text_date("_text"), F.col("document_date")), _people=facts.persons("_text"), _tags=facts.tags(F.col("_words"), F.col("_kind")))
     if matters is not None:
-        base = staged(base, "analysed")  # read twice: for the matters' words and for the rest
-        chosen = classify_matter(base.select("id", F.lower("_text").alias("low_text"), F.col("_words").alias("words"), F.col("_tags").alias("labels")), matters)
-        base = base.join(chosen.withColumnRenamed("matter_id", "_matter").withColumnRenamed("matter_score", "_score"), "id", "left")
+        base = once(base, _best=finder(matters)(F.lower("_text"), F.concat("_words", "_tags")))
+        enough = F.col("_best.matter_score") >= least_score(F.col("_tags"))
+        base = base.withColumns({"_matter": F.when(enough, F.col("_best.matter_id")), "_score": F.when(enough, F.col("_best.matter_score"))})
     else:
         base = base.withColumns({"_matter": F.lit(None).cast("string"), "_score": F.lit(0.0)})
     locked = F.coalesce("matter_locked", F.lit(False))

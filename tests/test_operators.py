@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import runtime
 from quillon.operators import access, analysis, dashboard, intake, orphans, search, store
 from quillon.operators import matters as matters_of
 from quillon.runtime import staged
@@ -243,6 +244,17 @@ def test_best_matter_against_every_pair(spark, monkeypatch):
         assert {d[0]: (b[2], b[0]) for d, b in zip(docs, got) if b and b[0] >= (0.22 if d[3] else 0.14)} == want
 
 
+def test_documents_meet_matters_in_their_own_row(spark):
+    """No row for each pair of a document and a matter, and no copy of the documents that is sent or written."""
+    docs = spark.createDataFrame([(f"d{i}", "Litige avance.", "x.pdf", "", None, None, False) for i in range(40)], "id string, text string, filename string, type string, document_date date, matter_id string, matter_locked boolean")
+    matters = spark.createDataFrame([(f"m{i}", "c", f"Litige {i}", None, T0) for i in range(30)], MATTERS)
+    before = list(runtime._STAGED)
+    done = analysis.analyse(docs, matters)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and runtime._STAGED == before
+    assert {r["m"] for r in done.select(F.col("analysis.matter_id").alias("m")).collect()} == {"m9"}
+
+
 def test_intake(spark):
     text = "Facture n 12 du 8 février 2019, total ttc 120 euros. Client Jean DUPONT. Le litige Morsure de chien avance bien."
     rows = [("a b.txt", text.encode(), "text/plain", None, None, "Auto", None, None, T0), ("x.png", b"1", "image/png", None, "m1", "Note", "R", None, T0), ("y.zip", None, None, "c9", None, None, None, None, T0), ("z.txt", b" ", "", None, None, "Auto", None, None, T0)]
@@ -359,7 +371,8 @@ def test_a_model_beside_the_rules(spark, monkeypatch):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join(spark, monkeypatch, how):
-    
+    from quillon import runtime
+
     rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 4 else f"k{i}") for i in range(80)], "id int, k string")
     side = spark.createDataFrame([("hot", 1), ("k0", 2), ("other", 3)], "k string, v int")
     want = sorted(map(tuple, rows.join(side, "k", how).collect()), key=str)
@@ -370,7 +383,8 @@ def test_spread_join(spark, monkeypatch, how):
 def test_staged_tables_are_cleaned(spark):
     import os
 
-    
+    from quillon import runtime
+
     path = staged(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path)
     before, runtime._STAGED[:] = runtime._STAGED[:-1], runtime._STAGED[-1:]
@@ -382,7 +396,8 @@ def test_staged_tables_are_cleaned(spark):
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace
 
-    
+    from quillon import runtime
+
     unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: unset)))
     with pytest.raises(RuntimeError):
