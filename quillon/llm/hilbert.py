@@ -4,8 +4,10 @@ Each curve projects the unit vectors onto a few random directions, shifts the gr
 offset and orders the rows by their Hilbert key. Rows are range-partitioned by (key, id), so equal
 keys may hold any share of the rows. Windows of neighbouring keys are scored exactly, block against
 block, and across the borders of the ranges once more, so that no window ends at one; the best of all
-curves are merged and ranked again. The work grows with the rows, not with
-their square: every row meets `window` rows on each side per curve.
+curves are merged and ranked again. Rows that share one of their best so far then meet once more: as
+vectors lie denser, two close ones are parted on every curve more often, but seldom from all that is
+close to both. The work grows with the rows, not with their square: every row meets `window` rows on
+each side per curve, and `SHARED` on each side per neighbour.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.runtime import staged
@@ -23,6 +25,8 @@ from quillon.runtime import staged
 DIMENSIONS = 64
 CURVES, PROJECTED, BITS = 6, 8, 7
 WINDOW, BLOCK = 1024, 512
+#: Rows on each side that a row meets among those with one neighbour in common, and the rows scored at a time.
+SHARED, SHARED_BLOCK = 128, 128
 #: Rows of a range partition. A tenth of them lies at its ends and travels twice; the size has no effect on what is found.
 PART_ROWS = 20_000
 
@@ -214,7 +218,53 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dimensions: int
         found = one if found is None else found.unionByName(one)
         own = sorted_.mapInArrow(at_ends(curve), "border bigint, key bigint, id string, v binary")
         ends = own if ends is None else ends.unionByName(own)
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, near) of rows (met, id, v, own, known, least) that come sorted by met: others with the same met that beat the least similarity and are not known."""
+        rest: pa.Table | None = None
+        done = 0  # rows of the rest that have been scored
+
+        def scored(t: pa.Table, start: int, end: int) -> pa.RecordBatch:
+            met = t.column("met").to_numpy()
+            units, ids, known, least = unpack_units(t.column("v"), dimensions), t.column("id").to_pylist(), t.column("known").to_pylist(), t.column("least").to_numpy()
+            own = t.column("own").to_pylist()
+            out_ids, out_near = [], []
+            for a in range(start, end, SHARED_BLOCK):
+                b = min(a + SHARED_BLOCK, end)
+                lo, hi = max(0, a - SHARED), min(len(ids), b + SHARED)
+                s = units[a:b] @ units[lo:hi].T
+                s[(met[a:b, None] != met[None, lo:hi]) | (s < least[a:b, None])] = -2
+                s[np.arange(b - a), np.arange(a - lo, b - lo)] = -2
+                at, other = np.nonzero(s > -2)
+                for i, j in zip(at.tolist(), other.tolist()):
+                    if own[lo + j] not in known[a + i]:
+                        out_ids.append(ids[a + i])
+                        out_near.append([{"far": -round(float(s[i, j]), 6), "other": ids[lo + j]}])
+            kind = pa.list_(pa.struct([("far", pa.float32()), ("other", pa.string())]))
+            return pa.RecordBatch.from_arrays([pa.array(out_ids, pa.string()), pa.array(out_near, kind)], ["id", "near"])
+
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            rest = new if rest is None else pa.concat_tables([rest, new])
+            end = len(rest) - SHARED
+            if end - done >= 16 * SHARED_BLOCK:
+                yield scored(rest, done, end)
+                drop = max(0, end - SHARED)
+                rest, done = rest.slice(drop), end - drop
+        if rest is not None and done < len(rest):
+            yield scored(rest, done, len(rest))
+
     near = "id string, near array<struct<far:float,other:string>>"
     found = found.unionByName(ends.repartition("border").sortWithinPartitions("border", "key", "id").mapInArrow(over_borders, near))
-    ranked = F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("near"))), lambda x: x["other"]))
-    return found.groupBy("id").agg(F.slice(ranked, 1, k).alias("others"))
+    best = staged(found.groupBy("id").agg(_best(k).alias("near")), "near")
+    # Each row goes to the buckets of its neighbours with its vector and hashes of what it has already.
+    least = F.when(F.size("near") < k, F.lit(-1.0)).otherwise(-F.array_max("near")["far"] - 1e-6).cast("float")
+    known = F.transform("near", lambda x: F.xxhash64(x["other"]))
+    to = units.join(best, "id").select(F.explode(known).alias("met"), "id", "v", F.xxhash64("id").alias("own"), known.alias("known"), least.alias("least"))
+    more = to.repartition(parts, "met").sortWithinPartitions("met", "id").mapInArrow(shared, near)
+    return best.unionByName(more).groupBy("id").agg(_best(k).alias("near")).select("id", F.col("near.other").alias("others"))
+
+
+def _best(k: int) -> Column:
+    """The k nearest of all lists of a group, each other once, the nearest first; ties by id."""
+    every = F.array_sort(F.flatten(F.collect_list("near")))
+    return F.transform(F.slice(F.array_distinct(F.transform(every, lambda x: x["other"])), 1, k), lambda o: F.array_min(F.filter(every, lambda x: x["other"] == o)))

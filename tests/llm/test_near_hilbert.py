@@ -128,6 +128,20 @@ def test_range_borders_cut_no_window(spark, monkeypatch):
     assert same > 0.97
 
 
+def test_what_curves_part_meets_through_a_shared_neighbour(spark):
+    """Windows so narrow that the curves alone find a part only."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((100, 64))
+    x = centres[rng.integers(0, 100, 3000)] + 0.35 * rng.standard_normal((3000, 64))
+    rows = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, e array<double>")
+    got = {r["id"]: set(r["others"]) for r in hilbert.neighbours(rows, "id", "e", window=24).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    recall = np.mean([len({f"v{j:04d}" for j in b} & got[f"v{i:04d}"]) / 5 for i, b in enumerate(np.argsort(-s, axis=1)[:, :5])])
+    assert recall >= 0.99
+
+
 def test_equal_vectors_and_few_rows(spark):
     rows = [(f"v{i}", [1.0, *[0.0] * 63]) for i in range(4)]
     got = {r["id"]: r["others"] for r in hilbert.neighbours(spark.createDataFrame(rows, "id string, e array<double>"), "id", "e").collect()}
